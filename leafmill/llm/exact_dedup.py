@@ -1,7 +1,7 @@
 """Exact dedup with composable polynomial fingerprints.
 
 A text's bytes are hashed in chunks that don't depend on each other; the hashes of neighbouring chunks
-compose by length-shifted arithmetic, H(ab) = H(a) * B**len(b) + H(b) modulo a prime, so chunks may be
+compose by length-shifted arithmetic, H(ab) = H(a) + B**len(a) * H(b) modulo a prime, so chunks may be
 hashed in any order, in parallel and in pieces. Texts with equal length and equal fingerprints under two
 bases are then compared chunk by chunk with their group's first text, so the result is exact.
 
@@ -22,68 +22,47 @@ from leafmill.llm._spark import arrow_batches, small, written
 
 PRIME = (1 << 31) - 1
 BASES = (1_103_515_245, 69_069_069)
-CHUNK = 4096  # bytes that one dot product covers: 4096 * 256 * 2**31 < 2**63
 #: Bytes of a row of the chunkwise comparison.
 COMPARE_BYTES = 1 << 20
+_TABLES: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def _powers(base: int) -> np.ndarray:
-    out = np.ones(CHUNK, np.int64)
-    for i in range(1, CHUNK):
-        out[i] = out[i - 1] * base % PRIME
-    return out[::-1].copy()  # the first byte of a chunk has the highest power
-
-
-_TABLES: list[np.ndarray] = []
+    """base**0 .. base**(SEGMENT-1) modulo PRIME, by doubling."""
+    out = np.ones(1, np.int64)
+    while len(out) < K.SEGMENT:
+        out = np.concatenate([out, out * pow(base, len(out), PRIME) % PRIME])
+    return out[: K.SEGMENT]
 
 
 def compose(a: tuple[int, int], b: tuple[int, int], base: int) -> tuple[int, int]:
     """(hash, length) of the concatenation, from those of its two parts."""
-    return (a[0] * pow(base, b[1], PRIME) + b[0]) % PRIME, a[1] + b[1]
+    return (a[0] + pow(base, a[1], PRIME) * b[0]) % PRIME, a[1] + b[1]
 
 
 def fingerprints(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """One int64 a row: the two 31-bit polynomial hashes side by side. An empty row has 0."""
+    """One int64 a row: the two 31-bit polynomial hashes side by side. An empty row has 0.
+
+    The chunks are the parts of rows that fall into one segment of the batch; sums of a segment stay
+    below 2**8 * 2**31 * 2**20 and so within 64 bits.
+    """
     if not _TABLES:
-        _TABLES.extend(_powers(b) for b in BASES)
+        _TABLES.extend((_powers(b), _powers(pow(b, -1, PRIME))) for b in BASES)
     n = len(offs) - 1
-    lens = np.diff(offs)
-    parts = -(-lens // CHUNK)
-    row = np.repeat(np.arange(n), parts)
-    first = np.cumsum(parts) - parts
-    start = offs[row] + (np.arange(len(row)) - first[row]) * CHUNK
-    size = np.minimum(CHUNK, offs[row + 1] - start) if len(row) else np.zeros(0, np.int64)
-    out = np.zeros(n, np.int64)
-    for base, table in zip(BASES, _TABLES):
-        h = np.zeros(len(row), np.int64)
-        for i, j in K.doc_runs(np.append(start, offs[-1]), K.SEGMENT) if len(row) else []:
-            lo, hi = start[i], start[j - 1] + size[j - 1]
-            k = np.arange(lo, hi) - np.repeat(start[i:j], size[i:j])
-            h[i:j] = np.add.reduceat(data[lo:hi].astype(np.int64) * table[k + np.repeat(CHUNK - size[i:j], size[i:j])], start[i:j] - lo)
-        h %= PRIME
-        # compose: the k-th chunks of all rows at once, in as many steps as the longest row has chunks
-        total = np.zeros(n, np.int64)
-        shift = pow(base, CHUNK, PRIME)
-        live = np.flatnonzero(parts)
-        step = 0
-        while len(live):
-            if len(live) == 1:  # a very long row alone: plain numbers are faster
-                r = int(live[0])
-                t = int(total[r])
-                for q in range(step, int(parts[r])):
-                    i = int(first[r]) + q
-                    t = (t * (shift if size[i] == CHUNK else pow(base, int(size[i]), PRIME)) + int(h[i])) % PRIME
-                total[r] = t
-                break
-            i = first[live] + step
-            by = np.full(len(live), shift, np.int64)
-            short = np.flatnonzero(size[i] != CHUNK)
-            by[short] = [pow(base, int(s), PRIME) for s in size[i][short]]
-            total[live] = (total[live] * by + h[i]) % PRIME
-            step += 1
-            live = live[parts[live] > step]
-        out = out << 31 | total
-    return out
+    total = np.zeros((2, n), np.int64)
+    for lo in range(0, len(data), K.SEGMENT):
+        hi = min(lo + K.SEGMENT, len(data))
+        r0, r1 = int(np.searchsorted(offs, lo, "right")) - 1, int(np.searchsorted(offs, hi, "left"))
+        s, e = np.maximum(offs[r0:r1], lo) - lo, np.minimum(offs[r0 + 1 : r1 + 1], hi) - lo
+        x = data[lo:hi].astype(np.int64)
+        c = np.zeros(hi - lo + 1, np.int64)
+        for k, (base, (up, down)) in enumerate(zip(BASES, _TABLES)):
+            np.cumsum(x * up[: hi - lo], out=c[1:])
+            h = (c[e] - c[s]) % PRIME * down[np.minimum(s, K.SEGMENT - 1)] % PRIME
+            if offs[r0] < lo:  # the rest of a row that an earlier segment began
+                h[0] = h[0] * pow(base, lo - int(offs[r0]), PRIME) % PRIME
+            total[k, r0:r1] = (total[k, r0:r1] + h) % PRIME
+    return total[0] << 31 | total[1]
 
 
 def _fingerprint(col: pa.Array) -> pa.Array:
