@@ -125,26 +125,52 @@ def sketch_bits(text_bytes: int, window: int = WINDOW, anchor: int = ANCHOR) ->
     return min(bits, int(np.log2(SKETCH_BYTES * 8 / DEPTH)))
 
 
+#: Rows of the second scan: an anchor (pos >= 0, its hash in h) or a text of at least WINDOW words
+#: (pos = -1, its word sequence's hashes in h and g, the characters from its first to its last word).
+FOUND = "h bigint, g bigint, pos int, s int, e int"
+
+
+def _sequence(w: K.Words, base: U64) -> np.ndarray:
+    """Hash of each row's whole sequence of words."""
+    n = len(w.h) + 1
+    c = np.zeros(n, U64)
+    np.cumsum(w.h * K.powers(base, n)[:-1], out=c[1:])
+    return K.mix((c[w.at[1:]] - c[w.at[:-1]]) * K.powers(K.inverse(base), n)[w.at[:-1]] + np.diff(w.at).astype(U64))
+
+
 def _survivors(sketch, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sketch.value
         for b in batches:
-            for i, _, _, w in _word_batches(b.column(1)):
+            for i, d, o, w in _word_batches(b.column(1)):
                 at, h = anchors(w)
                 for r in range(DEPTH):
                     c = counters(h, r, bits)
                     ok = (table[r][c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 > 0
                     at, h = at[ok], h[ok]
                 row = np.searchsorted(w.at, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + i)), pa.array(h.view(np.int64)), pa.array((at - w.at[row]).astype(np.int32))], ["id", "h", "pos"])
+                full = np.flatnonzero(np.diff(w.at) >= WINDOW)
+                chars = K.char_index(d)
+                base = chars[o[full]]
+                zero = np.zeros(len(at), np.int64)
+                columns = (
+                    np.concatenate([h.view(np.int64), _sequence(w, BASES[1])[full].view(np.int64)]),
+                    np.concatenate([zero, _sequence(w, BASES[2])[full].view(np.int64)]),
+                    np.concatenate([at - w.at[row], np.full(len(full), -1)]).astype(np.int32),
+                    np.concatenate([zero, chars[w.start[w.at[full]]] - base]).astype(np.int32),
+                    np.concatenate([zero, chars[w.end[w.at[full + 1] - 1]] - base]).astype(np.int32),
+                )
+                ids = b.column(0).take(pa.array(np.concatenate([row, full]) + i))
+                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, columns)], ["id", "h", "g", "pos", "s", "e"])
 
     return run
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, anchors' positions) -> the WINDOW-word windows that hold an anchor, with their characters."""
+    """(id, text, anchors' positions, copied) -> the WINDOW-word windows that hold an anchor, or all of a
+    text that has copies, with their characters."""
     for b in batches:
-        found = b.column(2)
+        found, whole = b.column(2), b.column(3).to_numpy(zero_copy_only=False).astype(bool)
         flat, bounds = found.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in found])])
         for i, d, o, w in _word_batches(b.column(1)):
             n = len(w.h)
@@ -153,13 +179,13 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = np.repeat(np.arange(rows), np.diff(bounds[i : i + rows + 1]))
             ok = pos < np.diff(w.at)[row]  # rows that share an id may differ
             pos, row = pos[ok], row[ok]
-            if n < WINDOW or not len(pos):
+            if n < WINDOW or not (len(pos) or whole[i : i + rows].any()):
                 continue
             # windows that hold an anchor start within WINDOW - ANCHOR words before it
             edge = np.zeros(n + 1, np.int64)
             np.add.at(edge, np.maximum(w.at[row] + pos - (WINDOW - ANCHOR), w.at[row]), 1)
             np.add.at(edge, w.at[row] + pos + 1, -1)
-            inside = np.cumsum(edge[:n]) > 0
+            inside = (np.cumsum(edge[:n]) > 0) | np.repeat(whole[i : i + rows], np.diff(w.at))
             start = np.flatnonzero(inside)
             r = np.searchsorted(w.at, start, "right") - 1
             keep = start + WINDOW <= w.at[r + 1]
@@ -168,7 +194,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = chars[o[r]]
             h1, h2 = (K.windows(w.h, WINDOW, x)[start].view(np.int64) for x in BASES[1:])
             s, e = chars[w.start[start]] - base, chars[w.end[start + WINDOW - 1]] - base
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r + i)), pa.array(h1), pa.array(h2), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["id", "h1", "h2", "s", "e"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r + i)), pa.array(h1), pa.array(h2), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), pa.array(whole[r + i])], ["id", "h1", "h2", "s", "e", "copied"])
 
 
 def _spans(s: pa.Array) -> pa.Array:
@@ -206,13 +232,23 @@ def repeats(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFra
     size = x.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = sketch_bits(size)
     sketch = spark.sparkContext.broadcast(repeated_bits(x, "text", bits))
-    maybe = written(x.mapInArrow(_survivors(sketch, bits), f"id {kind}, h bigint, pos int"), "anchors")
-    twice = maybe.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("h")
-    held = written(maybe.join(twice, "h", "left_semi").groupBy("id").agg(F.collect_set("pos").alias("pos")), "held")
-    near = x.join(small(held.select("id")), "id", "left_semi").join(held, "id").select("id", "text", "pos")
-    found = written(near.mapInArrow(_windows, f"id {kind}, h1 bigint, h2 bigint, s int, e int"), "windows")
-    both = found.groupBy("h1", "h2").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("h1", "h2", "a")
+    maybe = written(x.mapInArrow(_survivors(sketch, bits), f"id {kind}, {FOUND}"), "anchors")
+    # texts that are equal word by word: only the least document of them goes on, the others repeat as a whole
+    whole = maybe.where("pos < 0")
+    equal = written(whole.groupBy("h", "g").agg(F.min("id").alias("lead"), F.max("id").alias("top")).where("lead < top").select("h", "g", "lead"), "equal")
+    member = whole.join(small(equal), ["h", "g"]).select("id", "lead", "s", "e")
+    several = whole.groupBy("id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("id")
+    copies = written(member.where("id <> lead").select("id", "s", "e").distinct().join(several, "id", "left_anti"), "copies")
+    leads = equal.select(F.col("lead").alias("id"), F.lit(True).alias("copied")).distinct()
+    only = maybe.where("pos >= 0").join(small(copies.select("id")), "id", "left_anti").select("id", "h", "pos")
+    twice = only.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("h")
+    held = only.join(twice, "h", "left_semi").groupBy("id").agg(F.collect_set("pos").alias("pos"))
+    held = held.join(leads, "id", "full").select("id", F.coalesce("pos", F.array().cast("array<int>")).alias("pos"), F.coalesce("copied", F.lit(False)).alias("copied"))
+    held = written(held, "held")
+    near = x.join(small(held.select("id")), "id", "left_semi").join(held, "id").select("id", "text", "pos", "copied")
+    found = written(near.mapInArrow(_windows, f"id {kind}, h1 bigint, h2 bigint, s int, e int, copied boolean"), "windows")
+    both = found.groupBy("h1", "h2").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.bool_or("copied").alias("c")).where("a < b or c").select("h1", "h2", "a")
     hit = found.join(both, ["h1", "h2"]).select("id", (F.col("id") == F.col("a")).alias("first"), "s", "e")
     spans = hit.groupBy("id", "first").agg(F.collect_list(F.struct("s", "e")).alias("x"))
-    out = spans.select("id", "first", F.explode(F.arrow_udf(_spans, "array<struct<start:long,end:long>>")("x")).alias("y"))
-    return out.select(F.col("id").alias("doc_id"), "y.start", "y.end", "first")
+    out = spans.select("id", "first", F.explode(F.arrow_udf(_spans, "array<struct<start:long,end:long>>")("x")).alias("y")).select("id", "y.start", "y.end", "first")
+    return out.union(copies.select("id", F.col("s").cast("long"), F.col("e").cast("long"), F.lit(False))).withColumnRenamed("id", "doc_id")
