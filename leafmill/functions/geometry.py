@@ -54,8 +54,18 @@ def mat_vec(m: Column, p: Column) -> Column:
     return vec(m[0] * p["x"] + m[2] * p["y"] + m[4], m[1] * p["x"] + m[3] * p["y"] + m[5])
 
 
+def let(f, *xs: Column) -> Column:
+    """f of xs, each of which is computed once, however often f uses it."""
+    bound = F.struct(*[x.alias(f"v{i}") for i, x in enumerate(xs)])
+    return F.transform(F.array(bound), lambda s: f(*[s[f"v{i}"] for i in range(len(xs))]))[0]
+
+
 def mat_mul(m: Column, n: Column) -> Column:
     """The matrix that applies n first, then m."""
+    return let(_product, m, n)
+
+
+def _product(m: Column, n: Column) -> Column:
     out = []
     for k in (0, 2, 4):
         shift = (m[4], m[5]) if k == 4 else (F.lit(0.0), F.lit(0.0))
@@ -69,6 +79,10 @@ def det(m: Column) -> Column:
 
 def inverse(m: Column) -> Column:
     """The inverse; null where the determinant is 0."""
+    return let(_inverse, m)
+
+
+def _inverse(m: Column) -> Column:
     d = det(m)
     rows = (m[3], -m[1], -m[2], m[0], m[2] * m[5] - m[3] * m[4], m[1] * m[4] - m[0] * m[5])
     return F.when(d != 0, F.array(*[F.try_divide(x, d) for x in rows]))
@@ -98,6 +112,10 @@ def box_ur(b: Column) -> Column:
 
 def mat_box(m: Column, b: Column) -> Column:
     """The box of a box's transformed corners."""
+    return let(_corners, m, b)
+
+
+def _corners(m: Column, b: Column) -> Column:
     ps = [mat_vec(m, vec(b[x], b[y])) for x in ("x0", "x1") for y in ("y0", "y1")]
     xs, ys = [p["x"] for p in ps], [p["y"] for p in ps]
     return F.struct(F.least(*xs).alias("x0"), F.least(*ys).alias("y0"), F.greatest(*xs).alias("x1"), F.greatest(*ys).alias("y1"))
@@ -179,12 +197,21 @@ def numbers_of(ps: Column) -> Column:
 
 def bezier_area(z: Column) -> Column:
     """Area that the line from the origin to the curve's point sweeps."""
+    return let(_area, z)
+
+
+def _area(z: Column) -> Column:
     return cross(z["q"], z["r"]) + cross(z["b"], z["r"]) * 1.2 + cross(z["b"], z["f"]) * 0.3
 
 
 def bezier_scale_for_area(z: Column, area: Column) -> Column:
     """Factor k, nearest 1, by which b and f are scaled for the curve to sweep area; null if there is none."""
-    base, lin, quad = cross(z["q"], z["r"]) - area, cross(z["b"], z["r"]) * 1.2, cross(z["b"], z["f"]) * 0.3
+    terms = lambda x: F.array(cross(x["q"], x["r"]), cross(x["b"], x["r"]) * 1.2, cross(x["b"], x["f"]) * 0.3)
+    return let(_scale, let(terms, z), area)
+
+
+def _scale(terms: Column, area: Column) -> Column:
+    base, lin, quad = terms[0] - area, terms[1], terms[2]
     disc = lin * lin - quad * base * 4
     root = F.sqrt(F.greatest(disc, F.lit(0.0)))
     one, two = F.try_divide(root - lin, quad * 2), F.try_divide(-root - lin, quad * 2)

