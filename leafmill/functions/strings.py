@@ -40,11 +40,8 @@ def hex_bytes(text: Column) -> Column:
 
 def hex_codes(data: Column, width: int) -> Column:
     """Codes of width bytes each, from bytes; a rest that is too short is dropped."""
-    h = F.hex(data)
-    n = F.floor(F.octet_length(data) / width).cast("int")
-    at = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    codes = F.transform(at, lambda i: F.conv(F.substring(h, (i - 1) * (2 * width) + 1, F.lit(2 * width)), 16, 10).cast("int"))
-    return F.when(n > 0, codes).otherwise(F.array().cast("array<int>"))
+    digits = F.regexp_extract_all(F.hex(data), F.lit(f".{{{2 * width}}}"), 0)
+    return F.transform(digits, lambda x: F.conv(x, 16, 10).cast("int"))
 
 
 def utf16_text(digits: Column) -> Column:
@@ -65,10 +62,6 @@ def literal(text: Column) -> Column:
 
 def octal_escapes(text: Column) -> Column:
     """Bytes of a text's UTF-8 beyond printing ASCII, quotes and backslashes as octal escapes."""
-    h = F.hex(F.encode(text, "UTF-8"))
-    n = (F.length(h) / 2).cast("int")
-    at = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    one = lambda i: F.conv(F.substring(h, i * 2 - 1, F.lit(2)), 16, 10).cast("int")
+    octets = hex_codes(F.encode(text, "UTF-8"), 1)
     oct3 = lambda b: F.concat(F.lit("\\"), F.lpad(F.conv(b.cast("string"), 10, 8), 3, "0"))
-    out = F.transform(F.transform(at, one), lambda b: F.when(b.between(32, 126) & ~b.isin(34, 92), F.char(b.cast("long"))).otherwise(oct3(b)))
-    return F.when(n > 0, F.array_join(out, "")).otherwise(F.lit(""))
+    return F.array_join(F.transform(octets, lambda b: F.when(b.between(32, 126) & ~b.isin(34, 92), F.char(b.cast("long"))).otherwise(oct3(b))), "")
