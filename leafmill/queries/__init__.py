@@ -29,6 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """All queries and their SQL."""
-    from leafmill.queries import content, fonts, geometry, graph, numbers, structure  # noqa: F401
+    from leafmill.queries import codecs, content, fonts, geometry, graph, numbers, structure  # noqa: F401
 
     return QUERIES, ORACLE_SQL
