@@ -32,6 +32,9 @@ NONE = 1 << BITS  # in place of an n-gram without letters
 SCALE = 20.0  # of mean margins; the sign alone decides
 #: Bound of the sample that the machines are fitted on, in documents a language.
 TRAIN_PER_LANG = 400
+#: An n-gram counts as known once SEEN training documents of one language have it, so that a mislabelled foreign
+#: text doesn't vouch for itself; of a language with fewer than SPARSE training documents one is enough.
+SEEN, SPARSE = 2, 10
 #: A document is rejected when less than this share of its n-grams was seen in training.
 MIN_KNOWN = 0.5
 
@@ -131,15 +134,20 @@ def fit(rows: list[tuple[str, str]], families: dict[str, tuple[str, ...]] = FAMI
         for a, b in combinations(names, 2):
             machine(f, a, b, [(x == a) - (x == b) for x in langs])
     seen = np.zeros(NONE + 1)
-    for ids, _ in feats:
-        seen[ids] = 1
+    for x in set(langs):
+        own = [ids for (ids, _), y in zip(feats, langs) if y == x]
+        often = np.bincount(np.concatenate(own).astype(np.int64), minlength=NONE + 1)
+        seen[often >= (SEEN if len(own) >= SPARSE else 1)] = 1
     model.weights = np.stack([*columns, seen], axis=1).astype(np.float32)
     return model
 
 
-def _sums(model: Model, x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Summed weights under each machine, and n-gram counts, of the stretches of x from each start."""
+def _sums(model: Model, x: np.ndarray, starts: np.ndarray, between: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Summed weights under each machine, and n-gram counts, of the stretches of x from each start. between:
+    positions of n-grams that reach into the next stretch and don't count."""
     ids = ngram_ids(K.fold_case(x))
+    if between is not None:
+        ids[between] = NONE
     s = np.stack([np.add.reduceat(model.weights[:, k][ids], starts, dtype=np.float64) for k in range(model.weights.shape[1])], axis=1)
     return s, np.add.reduceat(ids < NONE, starts, dtype=np.int64)
 
@@ -164,7 +172,8 @@ def margins(model: Model, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarra
         np.cumsum(lens + 2, out=at[1:])
         x = np.full(at[-1] + 2, 32, np.uint8)
         x[np.arange(offs[i], offs[j]) + np.repeat(at[:-1] + 1 - offs[i:j], lens)] = data[offs[i] : offs[j]]
-        out[i:j], count[i:j] = _sums(model, x, at[:-1])
+        end = at[:-1] + lens
+        out[i:j], count[i:j] = _sums(model, x, at[:-1], np.concatenate([end, end + 1]))
     out /= np.maximum(count, 1)[:, None]
     return out[:, :-1] * SCALE, out[:, -1], count
 
@@ -224,7 +233,7 @@ def identify(spark: SparkSession, docs: DataFrame, text: str = "text", lang: str
 
     Nulls: a null or empty text, or one without letters, is rejected (family and predicted are null,
     margin 0); a row with a null label or doc_id isn't trained on but is predicted. Rejected too: texts
-    of which less than min_known of the n-grams occurred in training (an unknown language or script).
+    of which less than min_known of the n-grams are known from training (an unknown language or script).
     No labelled rows: all are rejected; one label: every known text gets it. Very long texts are read
     whole, piece by piece. Repeated rows get equal answers; a column that is named langid is replaced.
     """

@@ -105,7 +105,8 @@ def test_odd_rows(spark):
     got = sorted((tuple(r) for r in N.assign(spark, df).collect()), key=str)
     by = {r[0]: r for r in got}
     assert len(got) == len(rows)
-    assert by[2][1] == 1 and by[7][1] == 1 and by[1] == (1, 1, 5, True) and by[9][1] == 8
+    assert by[2][1] == 1 and by[7][1] == 1 and by[1] == (1, 1, 6, True)  # with 11, which has hardly other shingles
+    assert by[9][1] == 8
     assert by[None] == (None, None, 1, True) and by[3] == (3, 3, 1, True) and by[6] == (6, 6, 1, True) and by[10] == (10, 10, 1, True)
     kept = N.dedup(spark, df)
     assert kept.columns == df.columns

@@ -33,7 +33,11 @@ def test_stages_one_by_one(spark, tmp_path):
     assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows if r[0] < 300}
 
     once = stage["exact_dedup"](spark, kept, "")
-    assert {r["doc_id"] for r in once.collect()} == {r[0] for r in rows if r[0] < 100 or 200 <= r[0] < 300}
+    first: dict[str, int] = {}
+    for r in rows:
+        if r[0] < 300:  # an edited copy may equal its original
+            first.setdefault(r[1], r[0])
+    assert {r["doc_id"] for r in once.collect()} == set(first.values())
 
     left = [tuple(r) for r in once.collect()]
     apart = stage["near_dedup"](spark, once, "")

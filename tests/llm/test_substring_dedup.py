@@ -90,7 +90,6 @@ def test_odd_rows(spark):
 
 
 def test_crowded_sketch_loses_nothing(spark, monkeypatch):
-    monkeypatch.setattr(S, "SHARD_BITS", 4)
     monkeypatch.setattr(S, "sketch_bits", lambda n: 5)
     rng = random.Random(4)
     p = prose(rng, 70)
