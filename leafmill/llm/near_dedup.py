@@ -26,7 +26,7 @@ from leafmill.llm import _kernels as K
 from leafmill.llm._spark import arrow_batches, components, small, written
 
 U64 = K.U64
-SIZE, BANDS, ROWS = 128, 32, 4
+SIZE, BANDS, ROWS = 256, 64, 4
 SHINGLE = 3
 THRESHOLD = 0.5
 MARGIN = 3.5
@@ -59,7 +59,7 @@ def sketches(h: np.ndarray, at: np.ndarray, size: int = SIZE) -> np.ndarray:
             break
         x = K.mix(h + U64((i + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
         where = (x & U64(size - 1)).astype(np.int64) if i < size else i - size
-        np.minimum.at(out, row * size + where, (x >> U64(8)) | U64(i << 56))
+        np.minimum.at(out, row * size + where, (x >> U64(10)) | U64(i << 54))
         open_ = (out.reshape(n, size) == K.MAX64).any(axis=1)
         live = open_[row]
         h, row = h[live], row[live]
