@@ -186,6 +186,8 @@ def pack_pixels(x: np.ndarray, bits: int) -> bytes:
     x = np.asarray(x, np.uint32)
     if bits in (8, 16, 32):
         return x.astype(f">u{bits // 8}").tobytes()
+    if not x.size:
+        return b""
     flat = (x[..., None] >> np.arange(bits - 1, -1, -1, dtype=np.uint32)) & 1
     return np.packbits(flat.reshape(len(x), -1).astype(np.uint8), axis=1).tobytes()
 

@@ -1,0 +1,165 @@
+"""Plain functions: codecs, lexer, parser, files, ranges, reading order."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from leafmill.functions import pdf_functions as P
+from leafmill.operators import curves, fonts, state
+from leafmill.sources import codecs as C
+from leafmill.sources import content, pdf
+
+
+@given(st.binary(max_size=400))
+@settings(deadline=None)
+def test_run_length_round_trip(data):
+    assert C.run_length(C.to_run_length(data)) == data
+    assert C.run_length(C.to_run_length(data * 3) + b"\x80junk") == data * 3
+
+
+@given(st.binary(max_size=300), st.integers(1, 4), st.sampled_from([1, 2, 4, 8, 16]), st.integers(1, 9))
+@settings(deadline=None)
+def test_pixels_round_trip(data, colors, bits, width):
+    x = C.unpack_pixels(data, width, colors, bits)
+    line = -(-width * colors * bits // 8)
+    assert x.shape == (len(data) // line, width, colors) and (x < 1 << bits).all()
+    assert (C.unpack_pixels(C.pack_pixels(x, bits), width, colors, bits) == x).all()
+
+
+def test_filters_reject_and_repair():
+    z = zlib.compress(b"abc" * 100)
+    assert C.flate(z) == C.flate(z[:-4]) == b"abc" * 100
+    assert C.ascii_hex(b"6 16\n2 7>") == b"abp"
+    for f, bad in ((C.ascii_hex, b"61"), (C.ascii85, b"abc"), (C.flate, b"\x00\x00\xff"), (C.lzw, bytes([255] * 9))):
+        with pytest.raises(C.FilterError):
+            f(bad)
+    with pytest.raises(C.FilterError):
+        C.apply_filters(b"", ["DCTDecode", "FlateDecode"])
+    assert C.apply_filters(b"x", ["FlateDecode", "DCT"][1:]) == (b"x", ["DCT"])
+
+
+def test_lzw_widths():
+    """A plain encoder that grows its table as the decoder does."""
+    data = bytes(random.Random(1).randrange(4) for _ in range(9000))
+    table, width, bits, cur = {bytes([i]): i for i in range(256)}, 9, f"{256:09b}", b""
+    size = 258
+    for b in data:
+        if cur + bytes([b]) in table:
+            cur += bytes([b])
+            continue
+        bits += f"{table[cur]:0{width}b}"
+        table[cur + bytes([b])] = size
+        size += 1
+        if size == 4094:
+            bits += f"{256:0{width}b}"
+            table, width, size = {bytes([i]): i for i in range(256)}, 9, 258
+        elif size - 1 >= (1 << width) - 1:
+            width += 1
+        cur = bytes([b])
+    bits += f"{table[cur]:0{width}b}" + f"{257:0{width}b}"
+    bits += "0" * (-len(bits) % 8)
+    assert C.lzw(int(bits, 2).to_bytes(len(bits) // 8, "big")) == data
+
+
+def test_nested_strings_comments_and_images():
+    s = "q % note (\n(a(b\\)c)d) Tj [ (x) -20 (y) ] TJ << /A 1 >> BDC BI /W 2 /H 1 ID xxEI Q"
+    got = content.parse(s)
+    assert [c["op"] for c in got] == ["q", "Tj", "TJ", "BDC", "BI", "Q"]
+    assert got[1]["args"] == ["(a(b\\)c)d)"] and got[4]["props"] == {"/W": "2", "/H": "1"}
+    assert content.parse(content.serialize(got)) == got
+    assert content.unescape(r"(a\(\101\n\\)") == "a(A\n\\"
+
+
+@given(st.text(alphabet="ab()\\ \n1", max_size=60))
+def test_lexer_always_ends(s):
+    list(content.lex(s))
+    content.parse(s)
+
+
+def test_ligatures_and_private_codes():
+    table = {"f": 1, "ff": 2, "ffi": 3, "i": 4}
+    assert fonts.greedy_encode("fffifif", table) == [2, 1, 4, 1, 4, 1] or fonts.greedy_encode("ffif", table) == [3, 1]
+    assert fonts.greedy_encode(chr(fonts.PRIVATE + 77), table) == [77]
+    assert fonts.greedy_encode("z", table) is None
+
+
+def test_state_save_restore_and_forms():
+    font = {"widths": {65: 0.6}, "unicode": {65: "A", 66: "fi"}, "missing": 0.5, "space": 0.5, "y0": 0.0, "y1": 1.0, "cid": False}
+    s = state.State({"F": font})
+    shown = []
+    for c in content.parse("q 2 0 0 2 0 0 cm BT /F 10 Tf 5 7 Td (A) Tj Q (AB) Tj ET Q BT /F 10 Tf [(A) -1000 (B)] TJ 0 -10 TD T* (A) ' 1 2 (A) \" ET"):
+        x = s.update(c["op"], c["args"])
+        if x:
+            shown.append(x)
+    assert shown[0] == ("A", (12.0, 0, 0, 20.0, 10.0, 14.0))
+    assert [t for t, _ in shown[1:]] == ["A fi", "A", "A"]
+    assert [m[5] for _, m in shown[1:]] == [0.0, -30.0, -40.0]
+
+
+def test_page_text():
+    row = lambda x, y: (10.0, 0, 0, 10.0, x, y)
+    assert state.page_text(["b", "a", "c", "  "], [row(30, 100), row(0, 100), row(13.4, 80), row(0, 0)]) == "a    b\n\n  c"
+    assert state.page_text([], []) == ""
+
+
+def test_curves():
+    p = np.array([[0, 0], [1, 2], [3, 2], [4, 0]], float)
+    mid = lambda a, b: (a + b) / 2
+    a, b, c = mid(p[0], p[1]), mid(p[1], p[2]), mid(p[2], p[3])
+    ab, bc = mid(a, b), mid(b, c)
+    halves = np.array([[p[0], a, ab, mid(ab, bc)], [mid(ab, bc), bc, c, p[3]]])
+    assert np.allclose(curves.decimate(halves)[0], p) and len(curves.decimate(halves)) == 1
+    apart = np.array([p, p + 50])
+    assert len(curves.decimate(apart)) == 2
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_files(packed):
+    contents = [b"BT (a) Tj ET", b"", b"q " * 500]
+    data = pdf.write_file(contents, packed=packed)
+    rows = {r["obj_id"]: r for r in pdf.read_file(data)}
+    assert [rows[5 + 2 * i]["data"] for i in range(3)] == contents and not any(r["error"] for r in rows.values())
+    assert rows[1]["type"] == "Catalog" and {r["dst"] for r in rows[2]["refs"]} == {4, 6, 8}
+    broken = data.replace(b"startxref", b"startxxxx")
+    again = {r["obj_id"]: r for r in pdf.read_file(broken)}
+    assert [again[5 + 2 * i]["data"] for i in range(3)] == contents and again[1]["type"] == "Catalog"
+    assert list(pdf.read_file(b"junk"))[0]["kind"] == "trailer"
+
+
+def test_programs_that_dont_compile(spark):
+    from pyspark.sql import functions as F
+
+    for bad in ("{ add }", "{ 1 2", "1", "{ 1 { 2 } }", "{ nosuch }", "{ dup 0 gt { 1 } if }"):
+        with pytest.raises(P.ProgramError):
+            P.run(P.parse(bad), [] if bad != "{ dup 0 gt { 1 } if }" else [F.lit(1.0)])
+
+
+def test_golden_formats(spark):
+    from pyspark.sql import functions as F
+
+    from leafmill.functions import numbers as N
+
+    one = spark.range(1).select(N.size_text(F.lit(1024), "K"), N.with_commas(F.lit(12345)), N.ranges_of(F.array(*map(F.lit, (14, 13, 1, 2, 3, 6, 7, 9, 9)))), N.numbers_of(F.lit("1-3,6-7,9,13-14")), N.numbers_of(F.lit("1-x"))).first()
+    assert tuple(one) == ("1M", "12,345", "1-3,6-7,9,13-14", [1, 2, 3, 6, 7, 9, 13, 14], None)
+
+
+def test_filters_reach_the_scan(spark, sf):
+    from leafmill.plans.stream import tokens
+    from leafmill.sources.content import with_streams
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plan = tokens(with_streams(docs)).where("lang = 'en'").groupBy("type").count()._jdf.queryExecution().toString()
+    assert "EqualTo(lang,en)" in plan and "source" not in plan.split("ReadSchema")[-1].split("\n")[0]
+
+
+def test_cycles_end(spark):
+    from leafmill.operators import graph
+
+    e = spark.createDataFrame([(1, 1, "K", 0, 2), (1, 2, "K", 1, 3), (1, 3, "P", None, 1), (1, 3, "K", None, 3), (1, 9, "K", None, 1)], "doc int, src int, key string, ord int, dst int")
+    got = graph.reach(e, spark.createDataFrame([(1, 1)], "doc int, node int"))
+    assert sorted(map(tuple, got.select("node", "level", "path").collect())) == [(1, 0, ""), (2, 1, "/K[0]"), (3, 2, "/K[0]/K[1]")]
+    assert graph.depths(e).count() == 0 and graph.reach(e, spark.createDataFrame([], "doc int, node int")).count() == 0
