@@ -137,7 +137,7 @@ def _fonts(row: list | None) -> dict[str, dict]:
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows, seqs, texts, ms = [], [], [], []
+        rows, seqs, texts, ms, names = [], [], [], [], []
         for i, (stream, fonts) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
             state = State(_fonts(fonts))
             for k, c in enumerate(parse(stream or "")):
@@ -145,21 +145,29 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     shown = state.update(c["op"], c["args"])
                 except (ValueError, IndexError, TypeError):  # operands that don't fit their operator
                     continue
+                if c["op"] == "Do" and c["args"]:
+                    shown = None, state.ctm
                 if shown is not None:
+                    names.append(c["args"][-1].lstrip("/") if c["op"] == "Do" else None)
                     rows.append(i)
                     seqs.append(k)
                     texts.append(shown[0])
                     ms.append(list(shown[1]))
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(seqs, pa.int32()), pa.array(texts, pa.string()), pa.array(ms, pa.list_(pa.float64()))], ["key", "seq", "text", "m"])
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(seqs, pa.int32()), pa.array(texts, pa.string()), pa.array(ms, pa.list_(pa.float64())), pa.array(names, pa.string())], ["key", "seq", "text", "m", "name"])
 
 
 def chunks(streams: DataFrame, key: str = "doc_id", stream: str = "stream", fonts: str = "fonts") -> DataFrame:
     """(key, seq, text, m): what each command of a stream shows, and the matrix that takes the unit square to
     its box. fonts: a map from resource name to FONT. Commands before a font is set, or whose operands
     don't fit, show nothing; a restore without a save is ignored."""
+    return placed(streams, key, stream, fonts).where("name is null").drop("name")
+
+
+def placed(streams: DataFrame, key: str = "doc_id", stream: str = "stream", fonts: str = "fonts") -> DataFrame:
+    """chunks(), and rows with a name and no text for the objects that a stream draws, m being the matrix there."""
     kind = streams.schema[key].dataType.simpleString()
     x = streams.select(key, stream, fonts)
-    return x.mapInArrow(_chunks, f"key {kind}, seq int, text string, m array<double>").withColumnRenamed("key", key)
+    return x.mapInArrow(_chunks, f"key {kind}, seq int, text string, m array<double>, name string").withColumnRenamed("key", key)
 
 
 # Reading order.

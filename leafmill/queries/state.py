@@ -160,3 +160,32 @@ def t13_curve_decimation(spark: SparkSession, d: str) -> DataFrame:
     m = mid(ab, bc)
     points = F.array(*[v for q in (p[0], a, ab, m, m, bc, c, p[3]) for v in q])
     return curves.decimated(table(spark, d, "embeddings").select("vec_id", points.alias("points")), "vec_id").select("vec_id", "segments")
+
+
+@query("k21_text_driver", f"WITH {LINES} SELECT count(*) AS removed, (SELECT CAST(sum(length(line)) AS BIGINT) FROM ln WHERE doc_id IN (SELECT doc_id FROM documents WHERE contains(text, 'the'))) AS chars FROM documents WHERE contains(text, 'the')")
+def k21_text_driver(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks merged, and those taken out whose text matches."""
+    from leafmill.plans import stream as P
+    from leafmill.plans import text as T
+
+    c = P.commands(P.tokens(C.with_streams(table(spark, d, "documents").select("doc_id", "lang", "text"))))
+    _, removed = T.edited(c, regex="the")
+    return removed.agg(F.count("*").alias("removed"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+@query("g4_nested_forms", "SELECT c_custkey AS doc, round(sum(2.0 * (10 + 5 * o_orderkey % 7)), 3) AS x, count(*) AS shown FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def g4_nested_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Customers' pages draw a form at twice its size, which draws one form an order."""
+    from leafmill.plans import text as T
+
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("doc"), "o_orderkey")
+    c = o.select("doc").distinct()
+    font = F.expr(FONT)
+    none = F.lit(None).cast("array<double>")
+    page = c.select("doc", F.lit(0).cast("long").alias("node"), F.lit("q 2 0 0 2 0 0 cm /A Do Q").alias("stream"), font.alias("fonts"), none.alias("matrix"))
+    calls = o.groupBy("doc").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("/F"), "o_orderkey", F.lit(" Do")))), " ").alias("stream"))
+    form = calls.select("doc", F.lit(-1).cast("long").alias("node"), "stream", font.alias("fonts"), G.mat(1, 0, 0, 1, 10, 0).alias("matrix"))
+    leaf = o.select("doc", (F.col("o_orderkey") + 1).alias("node"), F.format_string("BT /F1 10 Tf %d 0 Td (x) Tj ET", F.col("o_orderkey") * 5 % 7).alias("stream"), font.alias("fonts"), none.alias("matrix"))
+    uses = c.select("doc", F.lit(0).cast("long").alias("src"), F.lit("A").alias("name"), F.lit(-1).cast("long").alias("dst")).union(o.select("doc", F.lit(-1).cast("long"), F.concat(F.lit("F"), "o_orderkey"), F.col("o_orderkey") + 1))
+    got = T.with_forms(page.union(form).union(leaf), uses).where("node = 0")
+    return got.groupBy("doc").agg(F.round(F.sum(F.col("m")[4]), 3).alias("x"), F.count("*").alias("shown"))
