@@ -159,3 +159,15 @@ def f19_dictionary_batches(spark: SparkSession, d: str) -> DataFrame:
 def f23_recompression_rule(spark: SparkSession, d: str) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, ("RLE", "PNG", "JPEG"))), (F.col("p_size") % 3 + 1).cast("int"))
     return table(spark, d, "part").select("p_partkey", C.wins(kind, F.lit(30), F.col("p_size")).alias("wins"))
+
+
+@query("f16_fax_images", "SELECT vec_id, CAST(list_sum(list_transform(embedding, lambda v: CASE WHEN v > 0 THEN 1 ELSE 0 END)) AS BIGINT) AS black FROM embeddings")
+def f16_fax_images(spark: SparkSession, d: str) -> DataFrame:
+    """Bitmaps of eight by eight under two-dimensional facsimile coding and back."""
+    from leafmill.sources import fax
+
+    bits = F.array_join(F.transform("embedding", lambda v: F.when(v > 0, "1").otherwise("0")), "")
+    octets = F.transform(F.regexp_extract_all(bits, F.lit(".{8}"), 0), lambda b: F.lpad(F.conv(b, 2, 16), 2, "0"))
+    x = table(spark, d, "embeddings").select("vec_id", F.unhex(F.array_join(octets, "")).alias("raw"))
+    back = C.column(lambda b: fax.decode(fax.encode(b, 8), 8), F.col("raw"))
+    return x.select("vec_id", F.aggregate(S.hex_codes(back, 1), F.lit(0).cast("long"), lambda a, b: a + F.bit_count(b)).alias("black"))
