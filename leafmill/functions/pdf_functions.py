@@ -200,3 +200,38 @@ def calculator(source: str, inputs: Sequence[Column], domain: Sequence[Interval]
     if len(out) < len(range_):
         raise ProgramError("too few results")
     return [clip(x, r) for x, r in zip(out[len(out) - len(range_) :], range_)]
+
+
+def from_dictionary(f: dict, inputs: Sequence[Column], data: bytes = b"") -> list[Column]:
+    """The outputs of a function object: its dictionary by keys without slashes, and its stream's data.
+    Sampled functions have one input here; a domain or range whose length is odd is rejected."""
+    pairs = lambda k: [tuple(map(float, f[k][i : i + 2])) for i in range(0, len(f.get(k) or ()), 2)]
+    for k in ("Domain", "Range"):
+        if len(f.get(k) or ()) % 2:
+            raise ProgramError(f"{k} of odd length")
+    kind, domain, range_ = f.get("FunctionType"), pairs("Domain"), pairs("Range")
+    if not domain or len(domain) != len(inputs):
+        raise ProgramError("a Domain for each input")
+    x = inputs[0].cast("double")
+    if kind == 4:
+        return calculator(data.decode("latin-1"), inputs, domain, range_)
+    if kind == 2:
+        out = exponential(x, f.get("C0", [0]), f.get("C1", [1]), f["N"], domain[0])
+    elif kind == 3:
+        parts = [lambda v, g=g: from_dictionary(g, [v])[0] for g in f["Functions"]]
+        out = [stitched(x, parts, f.get("Bounds", []), pairs("Encode"), domain[0])]
+    elif kind == 0 and len(inputs) == 1:
+        from leafmill.sources.codecs import unpack_pixels
+
+        n, bits = int(f["Size"][0]), int(f["BitsPerSample"])
+        m = len(range_)
+        line = unpack_pixels(data[: -(-n * m * bits // 8)], n * m, 1, bits)
+        if not line.size:
+            raise ProgramError("too few samples")
+        samples = line.reshape(n, m).T.tolist()
+        decode = pairs("Decode") or range_
+        encode = pairs("Encode")
+        out = [sampled(x, row, bits, domain[0], encode[0] if encode else None, d) for row, d in zip(samples, decode)]
+    else:
+        raise ProgramError(f"function type {kind} of {len(inputs)} inputs")
+    return [clip(y, r) for y, r in zip(out, range_)] if range_ else out

@@ -163,3 +163,45 @@ def test_cycles_end(spark):
     got = graph.reach(e, spark.createDataFrame([(1, 1)], "doc int, node int"))
     assert sorted(map(tuple, got.select("node", "level", "path").collect())) == [(1, 0, ""), (2, 1, "/K[0]"), (3, 2, "/K[0]/K[1]")]
     assert graph.depths(e).count() == 0 and graph.reach(e, spark.createDataFrame([], "doc int, node int")).count() == 0
+
+
+def test_function_objects(spark):
+    from pyspark.sql import functions as F
+
+    half = {"FunctionType": 2, "Domain": [0, 1], "N": 1, "C0": [0], "C1": [0.5]}
+    fs = [
+        ({"FunctionType": 0, "Domain": [0, 1], "Range": [0, 1, 0, 10], "Size": [3], "BitsPerSample": 8}, bytes((0, 0, 255, 51, 0, 255))),
+        (half, b""),
+        ({"FunctionType": 3, "Domain": [0, 2], "Functions": [half, half], "Bounds": [1], "Encode": [0, 1, 1, 0]}, b""),
+        ({"FunctionType": 4, "Domain": [0, 1], "Range": [0, 1]}, b"{ 4 mul }"),
+    ]
+    got = spark.range(1).select(*[c for f, d in fs for c in P.from_dictionary(f, [F.lit(0.25)], d)]).first()
+    assert [round(v, 9) for v in got] == [0.5, 1.0, 0.125, 0.125, 1.0]
+    for bad in ({"FunctionType": 2, "N": 1}, {"FunctionType": 9, "Domain": [0, 1]}, {"FunctionType": 2, "Domain": [0, 1, 2], "N": 1}):
+        with pytest.raises(P.ProgramError):
+            P.from_dictionary(bad, [F.lit(0.0)])
+
+
+def test_image_objects_and_files(spark, tmp_path):
+    from leafmill.operators import images
+    from leafmill.sources import fax
+
+    bits = bytes((0b11110000, 0b00111100, 0, 255))
+    rows = [
+        (1, "stream", "Image", '{"Width": 8, "Height": 4, "ImageMask": true, "DecodeParms": {"K": -1, "Columns": 8, "BlackIs1": true}}', fax.encode(bits, 8), ["CCITTFaxDecode"]),
+        (2, "stream", "Image", '{"Width": 2, "Height": 1, "BitsPerComponent": 8, "ColorSpace": "/DeviceRGB"}', b"abcdef", []),
+        (3, "stream", "Image", '{"Width": 2, "Height": 1, "BitsPerComponent": 8, "ColorSpace": ["/ICCBased", {"ref": 3}]}', b"jpeg", ["DCTDecode"]),
+        (4, "stream", "Form", "{}", b"", []),
+    ]
+    df = spark.createDataFrame([("a.pdf", *r) for r in rows], "path string, obj_id int, kind string, subtype string, value string, data binary, left array<string>")
+    x = images.images(df)
+    got = {r["obj_id"]: r for r in x.collect()}
+    assert set(got) == {1, 2, 3} and bytes(got[1]["samples"]) == bits and got[1]["left"] == [] and bytes(got[2]["samples"]) == b"abcdef"
+    assert got[3]["samples"] is None and got[3]["left"] == ["DCTDecode"] and got[3]["space"] == "ICCBased"
+    from pyspark.sql import functions as F
+
+    y = x.select(images.file_name(F.lit("a"), F.lit(1), F.col("obj_id")).alias("n"), images.png(F.col("samples"), F.col("width"), F.col("height"), F.col("bits"), F.col("space")).alias("p"))
+    images.export(y, str(tmp_path / "out"), "n", "p")
+    files = sorted(p.name for p in (tmp_path / "out").iterdir())
+    assert files == ["a.page0001.image0001.png", "a.page0001.image0002.png"]
+    assert C.png_parts((tmp_path / "out" / files[1]).read_bytes())["color"] == 2
