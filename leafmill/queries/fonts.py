@@ -354,3 +354,46 @@ def p12_octal_escapes(spark: SparkSession, d: str) -> DataFrame:
     """Lengths of escaped texts: four characters for every byte that doesn't print."""
     docs = table(spark, d, "documents")
     return docs.select("doc_id", F.length(S.octal_escapes(F.col("text"))).cast("long").alias("n"))
+
+
+@query(
+    "j12_simple_codes",
+    """SELECT p_partkey AS font, CAST(p_size AS BIGINT) AS cc, CASE WHEN p_partkey % 4 = 3 THEN 'own' ELSE 'g' || p_size END AS glyph FROM part WHERE p_partkey % 4 <> 1
+    UNION ALL SELECT p_partkey, CAST(65 AS BIGINT), 'A' FROM part WHERE p_partkey % 4 = 1""",
+)
+def j12_simple_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Each part a font: symbolic with map (3,0), encoded with (3,1), symbolic with (1,0), and one of numbers."""
+    from leafmill.operators import codes as K
+
+    k, size = F.col("p_partkey"), F.col("p_size").cast("long")
+    p = _part(spark, d, "p_size")
+    fonts = p.select(k.alias("font"), F.when(k % 4 == 3, "Type1").otherwise("TrueType").alias("subtype"), (k % 2 == 0).alias("symbolic"), (k % 4 == 1).alias("encoded"))
+    g = F.concat(F.lit("g"), "p_size")
+    cc = F.when(k % 4 == 0, size + 0xF000).when(k % 4 == 1, 65).otherwise(size)
+    kind = F.element_at(F.array(*map(F.lit, ("30", "31", "10", "gid"))), (k % 4 + 1).cast("int"))
+    program = p.select(k.alias("font"), kind.alias("kind"), cc.alias("cc"), g.alias("glyph"))
+    encoding = p.where("p_partkey % 2 = 1").select(k.alias("font"), F.when(k % 4 == 3, size).otherwise(65).alias("cc"), F.when(k % 4 == 3, "own").otherwise("A").alias("glyph"))
+    glyphs = program.select("font", "glyph").union(encoding.select("font", "glyph"))
+    names = spark.createDataFrame([("A", 65)], "glyph string, cc long")
+    return K.simple_codes(fonts, encoding, program, glyphs, names, names)
+
+
+@query("k10_font_names", "SELECT p_partkey, p_brand AS name, CASE WHEN p_size % 2 = 0 THEN p_size * 0.5 ELSE 0.001 END AS scale FROM part")
+def k10_font_names(spark: SparkSession, d: str) -> DataFrame:
+    from leafmill.operators import codes as K
+
+    s = F.col("p_size")
+    subtype = F.when(s % 2 == 0, "Type3").otherwise("Type1")
+    name = K.font_name(F.when(s % 3 == 0, F.concat(F.lit("ABCDEF+"), "p_brand")), F.col("p_brand"), F.lit("F1"))
+    return _part(spark, d, "p_brand", "p_size").select("p_partkey", name.alias("name"), K.scale(subtype, F.array(s * -0.5)).alias("scale"))
+
+
+@query("j13_composite_codes", "SELECT s_suppkey AS font, s_suppkey % 3 + 1 AS cc, 'g' || (s_suppkey % 3 + 2) AS glyph FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, i, 'g' || i FROM supplier, range(0, 6) t(i) WHERE s_suppkey % 2 = 1")
+def j13_composite_codes(spark: SparkSession, d: str) -> DataFrame:
+    from leafmill.operators import codes as K
+
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("font"))
+    gids = s.select("font", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("gid")).withColumn("glyph", F.concat(F.lit("g"), "gid"))
+    pair = s.where("font % 2 = 0").select("font", (F.col("font") % 3 + 1).alias("cid"), (F.col("font") % 3 + 2).alias("gid"))
+    none = s.where("false").select("font", F.lit(0).cast("long").alias("cid"))
+    return K.composite_codes(pair, none, pair.select("font", "cid"), gids)
