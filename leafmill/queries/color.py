@@ -179,3 +179,33 @@ def m17_calculator(spark: SparkSession, d: str) -> DataFrame:
     """Calculator programs as expressions."""
     x, y = F.col("p_size") + F.lit(1.0), F.col("p_partkey") % 17 + F.lit(1.0)
     return _part(spark, d).select("p_partkey", *[r6(P.calculator(p, [x, y])[-1]).alias(k) for k, (p, sql) in PROGRAMS.items()])
+
+
+FAMILIES = {
+    "m17a_rounding": {"abs_": ("{ pop 25 sub 4 div abs }", "abs((x - 25) / 4)"), "neg_": ("{ pop neg }", "-x"), "up": ("{ pop 25 sub 4 div ceiling }", "ceil((x - 25) / 4)"), "down": ("{ pop 25 sub 4 div floor }", "floor((x - 25) / 4)"), "near": ("{ pop 25 sub 4 div round }", "floor((x - 25) / 4 + 0.5)"), "cut": ("{ pop 25 sub 4 div truncate }", "trunc((x - 25) / 4)"), "whole": ("{ pop 3 div cvi cvr }", "trunc(x / 3)")},
+    "m17b_roots_and_angles": {"root": ("{ pop sqrt }", "sqrt(x)"), "sine": ("{ pop sin }", "sin(radians(x))"), "cosine": ("{ pop cos }", "cos(radians(x))"), "natural": ("{ pop ln }", "ln(x)"), "common": ("{ pop log }", "log10(x)")},
+    "m17c_arithmetic": {"added": ("{ add }", "x + y"), "taken": ("{ sub }", "x - y"), "times_": ("{ mul }", "x * y"), "over_": ("{ div }", "x / y"), "raised": ("{ 0.25 mul exp 1000 div }", "pow(x, y * 0.25) / 1000"), "angle": ("{ atan }", "degrees(atan2(x, y))"), "quotient": ("{ idiv }", "trunc(x / y)"), "rest": ("{ mod }", "CAST(x AS BIGINT) % CAST(y AS BIGINT)")},
+    "m17d_bits": {"both": ("{ and }", "CAST(x AS BIGINT) & CAST(y AS BIGINT)"), "either": ("{ or }", "CAST(x AS BIGINT) | CAST(y AS BIGINT)"), "one_": ("{ xor }", "xor(CAST(x AS BIGINT), CAST(y AS BIGINT))"), "none": ("{ pop not }", "-1 - x"), "yes": ("{ pop pop true }", "-1"), "no_": ("{ pop pop false }", "0")},
+    "m17e_comparisons": {"eq": ("{ eq }", "CASE WHEN x = y THEN -1 ELSE 0 END"), "ne": ("{ ne }", "CASE WHEN x <> y THEN -1 ELSE 0 END"), "gt": ("{ gt }", "CASE WHEN x > y THEN -1 ELSE 0 END"), "lt": ("{ lt }", "CASE WHEN x < y THEN -1 ELSE 0 END"), "ge": ("{ ge }", "CASE WHEN x >= y THEN -1 ELSE 0 END"), "le": ("{ le }", "CASE WHEN x <= y THEN -1 ELSE 0 END"), "close_": ("{ pop dup 1.000001 mul eq }", "-1")},
+    "m17f_stack": {"swapped": ("{ exch sub }", "y - x"), "doubled": ("{ pop dup add }", "2 * x"), "deep": ("{ 1 index sub sub }", "x - (y - x)"), "rolled": ("{ 7 3 1 roll sub mul }", "7 * (x - y)"), "back": ("{ 7 3 -1 roll sub mul }", "y * (7 - x)")},
+    "m17g_branches": {"smaller": ("{ 2 copy lt { pop } { exch pop } ifelse }", "least(x, y)"), "capped": ("{ pop dup 20 gt { pop 20 } if }", "least(x, 20)"), "shifted": ("{ pop 3 bitshift }", "x * 8"), "right_": ("{ pop -2 bitshift }", "floor(x / 4)")},
+}
+
+
+def _family(programs: dict[str, tuple[str, str]]):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        x, y = F.col("p_size") + F.lit(1.0), F.col("p_partkey") % 17 + F.lit(1.0)
+        return _part(spark, d).select("p_partkey", *[r6(P.calculator(p, [x, y])[-1]).alias(k) for k, (p, _) in programs.items()])
+
+    return run
+
+
+for _name, _programs in FAMILIES.items():
+    _sql = ", ".join(f"round(CAST({s} AS DOUBLE) + 1e-9, 6) + 0.0 AS {k}" for k, (_, s) in _programs.items())
+    query(_name, f"WITH v AS (SELECT p_partkey, p_size + 1.0::DOUBLE AS x, p_partkey % 17 + 1.0::DOUBLE AS y FROM part) SELECT p_partkey, {_sql} FROM v")(_family(_programs))
+
+
+@query("c18_image_facts", "SELECT p_partkey, [1, 3, 4, 1, 3][p_size % 5 + 1] * 8 AS pixel_bits, p_size % 5 < 3 AS device FROM part")
+def c18_image_facts(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("space")
+    return _part(spark, d).select("p_partkey", (C.components(s) * 8).alias("pixel_bits"), C.space_name(s).startswith("Device").alias("device"))

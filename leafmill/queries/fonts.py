@@ -397,3 +397,29 @@ def j13_composite_codes(spark: SparkSession, d: str) -> DataFrame:
     pair = s.where("font % 2 = 0").select("font", (F.col("font") % 3 + 1).alias("cid"), (F.col("font") % 3 + 2).alias("gid"))
     none = s.where("false").select("font", F.lit(0).cast("long").alias("cid"))
     return K.composite_codes(pair, none, pair.select("font", "cid"), gids)
+
+
+@query("k5_core14_fonts", "SELECT p_partkey, 'Times-Italic' AS name, 'StandardEncoding' AS encoding, CASE WHEN p_size % 2 = 0 THEN 600 END AS width FROM part")
+def k5_core14_fonts(spark: SparkSession, d: str) -> DataFrame:
+    font = F.concat(F.lit("Times New Roman,Italic-v"), "p_size")
+    other = F.when(F.col("p_size") % 2 == 0, "Courier New").otherwise("Arial")
+    return _part(spark, d, "p_size").select("p_partkey", O.core14_name(font).alias("name"), O.core14_encoding(font).alias("encoding"), O.core14_width(other).alias("width"))
+
+
+@query("k8_known_prefixes", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN CAST('0x' || CAST(p_partkey % 90 + 10 AS VARCHAR) AS BIGINT) ELSE p_partkey % 90 + 10 END AS cc FROM part")
+def k8_known_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    """Names of training fonts settle how a prefix counts: one that needs letters makes all hexadecimal."""
+    k = F.col("p_partkey")
+    names = _part(spark, d).select("p_partkey", F.concat(F.when(k % 2 == 0, "MT").otherwise("cid"), (k % 90 + 10).cast("string")).alias("glyph"))
+    training = spark.createDataFrame([(None, "MTAF")], names.schema)
+    return O.composite_codes(names.union(training)).where("p_partkey is not null").select("p_partkey", "cc")
+
+
+@query("k9_encode_decode", "SELECT p_partkey, p_name AS text, true AS rejected FROM part")
+def k9_encode_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Names encoded and decoded by one map; a text with a character beyond it has no code."""
+    table_ = {chr(c): c for c in range(32, 127)}
+    names = _part(spark, d, "p_name").withColumn("codes", O.encode(F.col("p_name"), table_)).withColumn("rejected", O.encode(F.concat("p_name", F.lit("你")), table_).isNull())
+    shown = names.select("p_partkey", F.posexplode("codes").alias("pos", "cc"))
+    cmap = spark.range(32, 127).select(F.col("id").cast("int").alias("cc"), O.char_of(F.col("id")).alias("unicode"))
+    return O.decode(shown, cmap, "p_partkey").join(names.select("p_partkey", "rejected"), "p_partkey")
