@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 20  # bytes of text that the temporaries of one step cover
+SEGMENT = 1 << 18  # bytes of text that the temporaries of one step cover
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
 MAX64 = U64(0xFFFFFFFFFFFFFFFF)

@@ -19,7 +19,7 @@ _own_dir: list[str] = []
 def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the Arrow batches that Python workers hold; long texts come in large rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -85,9 +85,9 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def blocks(n_rows: int) -> int:
-    """Into how many blocks of about BLOCK_ROWS a rank over n_rows splits."""
-    return max(1, -(-n_rows // BLOCK_ROWS))
+def blocks(n_rows: int, rows: int = BLOCK_ROWS) -> int:
+    """Into how many blocks of about so many rows a rank over n_rows splits."""
+    return max(1, -(-n_rows // rows))
 
 
 def running(df: DataFrame, group: list[str], value: Column, order: list[Column], block: Column, out: str) -> DataFrame:
