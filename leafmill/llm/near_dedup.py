@@ -188,10 +188,11 @@ def groups(spark: SparkSession, docs: DataFrame, text: str = "text", threshold:
     comp = components(edges.select("u", "v"))
     # buckets that still hold several components: all pairs across them, but those that were tried
     placed = shared.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    multi = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.collect_list(F.struct("id", "root")).alias("xs")).where("lo < hi")
-    left = multi.select("xs", F.explode("xs").alias("a"))
-    cross = left.select("a", F.explode(F.filter("xs", lambda b: (b["id"] > F.col("a.id")) & (b["root"] != F.col("a.root")))).alias("b"))
-    rest = cross.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct().join(star, ["u", "v"], "left_anti")
+    multi = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    mixed = written(placed.join(multi, "key", "left_semi"), "mixed")
+    a, b = (mixed.select("key", F.col("id").alias(i), F.col("root").alias(r)) for i, r in (("u", "ru"), ("v", "rv")))
+    cross = a.join(b, "key").where("u < v and ru <> rv").select("u", "v").distinct()
+    rest = cross.join(star, ["u", "v"], "left_anti")
     more = _verified(written(rest, "rest"), sk, x, threshold)
     members = components(edges.select("u", "v").union(more.select("u", "v")))
     ids = s.select("id", "f1", "f2", "n").join(lead.select("f1", "f2", "n", "lead"), ["f1", "f2", "n"])
