@@ -21,6 +21,8 @@ from leafmill.llm._spark import blocks, running, small, written
 SCALE = 1_000_000
 #: No source is repeated more often than this; what it can't fill stays unfilled.
 MAX_EPOCHS = 4.0
+#: Rows of a block of the prefix sum; they carry their texts.
+BLOCK_TEXTS = 2_000
 
 
 def _hex(x: Column) -> Column:
@@ -70,7 +72,7 @@ def sample(
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     x = docs.select(F.struct("*").alias("row"), F.coalesce("source", F.lit("")).alias("src"), key.alias("key"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("h"))
     x = x.join(small(p.select("src", "e", "u")), "src").where("e > 0")
-    k = blocks(n)
+    k = blocks(n, BLOCK_TEXTS)
     x = running(x, ["src"], F.col("e"), [F.col("key"), F.col("id"), F.col("h")], F.expr(f"({_hex_sql('key')} * {k}) div 4294967296"), "cum")
     copies = F.expr(f"(cum + u) div {SCALE} - (cum - e + u) div {SCALE}")
     x = x.withColumn("copies", copies).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
