@@ -7,6 +7,7 @@ and reads it again as the next one's input, so a lost executor costs one stage's
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +35,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All sources with equal weight; a document that is drawn more than once is there as often."""
-    return mixing.sample(spark, docs, copy_column=None)
+    return mixing.sample(spark, docs, max_epochs=math.inf, copy_column=None)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

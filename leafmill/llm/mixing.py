@@ -3,7 +3,7 @@
 Every document of a source has the same expected number of copies: the source's share of the budget over
 what the source holds. The expected copies are summed over the source's documents in a hashed order, a
 random offset is added, and a document is emitted once for each integer that its step crosses. So each
-source's yield differs from its target by less than one document's worth, whatever the order.
+source that max_epochs doesn't clip draws its expected number of documents to less than one, whatever the order.
 
 Expected copies are whole millionths, so sums are exact and don't depend on the order of addition. The
 prefix sum is distributed over blocks of the hashed order; a hot source is many blocks.
@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 from leafmill.llm._spark import blocks, running, small, written
 
 SCALE = 1_000_000
-#: No source is repeated more often than this; what it can't fill stays unfilled.
+#: sample() repeats no source more often than this unless told otherwise; what it can't fill stays unfilled.
+#: The registered queries pass math.inf: all sources meet their targets.
 MAX_EPOCHS = 4.0
+#: Copies of a row that are numbered at a time; a short text of a small source is drawn any number of times.
+COPIES = 1_000
 #: Rows of a block of the prefix sum; they carry their texts.
 BLOCK_TEXTS = 2_000
 
@@ -62,6 +65,8 @@ def sample(
 
     weights: source -> weight (None: all sources alike; a source that isn't listed gets 0). budget: characters
     to emit in all (None: as many as there are). A source's target is budget * weight / sum of weights.
+    max_epochs: the most expected copies of a document (math.inf: no bound, every target is met); what a clipped
+    source leaves of the budget goes to no other source.
     A null source counts as the empty name. Null and empty texts hold no characters but are drawn like
     the others of their source; a source without any character yields nothing. Null doc_ids come first in
     the hashed order; repeated rows are drawn each by itself. No rows: no rows. Other columns stay as they
@@ -75,9 +80,13 @@ def sample(
     k = blocks(n, BLOCK_TEXTS)
     x = running(x, ["src"], F.col("e"), [F.col("key"), F.col("id"), F.col("h")], F.expr(f"({_hex_sql('key')} * {k}) div 4294967296"), "cum")
     copies = F.expr(f"(cum + u) div {SCALE} - (cum - e + u) div {SCALE}")
-    x = x.withColumn("copies", copies).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    out = x.select("row.*", F.col("copy").alias("__copy")) if copy_column else x.select("row.*")
-    return out.drop(copy_column).withColumnRenamed("__copy", copy_column) if copy_column else out
+    # No struct passes the two explosions (Spark prunes its fields wrongly there), and no given name clashes.
+    own = [F.col("row").getField(c).alias(f"__{i}") for i, c in enumerate(docs.columns)]
+    x = x.select(*own, copies.alias("copies")).where("copies > 0")
+    x = x.withColumn("first", F.explode(F.expr(f"sequence(1L, copies, {COPIES}L)")))
+    x = x.withColumn("copy", F.explode(F.expr(f"cast(sequence(first, least(first + {COPIES - 1}, copies)) as array<int>)")))
+    out = [F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() != (copy_column or "").lower()]
+    return x.select(*out, *([F.col("copy").alias(copy_column)] if copy_column else []))
 
 
 def _hex_sql(x: str) -> str:

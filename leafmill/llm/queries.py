@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,7 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that a mix of all sources with equal weight draws."""
-    return mixing.sample(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "source", "copy_no")
+    return mixing.sample(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), max_epochs=math.inf).select("doc_id", "source", "copy_no")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
