@@ -4,7 +4,9 @@ A tokenizer and a tree builder with implied tags (a block closes an open paragra
 before it, a cell the cell before it; rows and the end of the head are implied) feed a renderer that
 leaves out what a browser doesn't show and emits all the rest: blocks on lines of their own, blank lines
 about paragraphs and headings, marked and indented list items, preformatted text as it is, and table cells
-padded to columns. Pages are independent, so the operator is one pass without a shuffle.
+padded to columns. Inline SVG and MathML show their text: a label is a line of its own, a formula goes on in
+its line. Visibility is inherited and may be set back, what isn't displayed is left out with all it holds.
+Pages are independent, so the operator is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -25,11 +27,31 @@ TOKEN = re.compile(
 )
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 BLANKS = re.compile(r"[ \t\n\r\f]+")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+HIDING = re.compile(r"display\s*:\s*none", re.I)
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|initial|hidden|collapse|inherit|unset|revert|revert-layer)\s*(!\s*important\s*)?(?=;|\Z)", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr basefont bgsound frame keygen".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes noscript".split())
-NEVER = frozenset("script style title template iframe noembed noframes noscript object audio video canvas svg math datalist head".split())
+NEVER = frozenset("script style title template iframe noembed noframes noscript object audio video canvas datalist head".split())
+#: Foreign elements are named by their language, a slash and their name; no tag of a page holds a slash.
+NEVER_FOREIGN = frozenset(
+    "svg/defs svg/metadata svg/desc svg/title svg/script svg/style svg/symbol svg/clippath svg/mask svg/marker svg/pattern"
+    " svg/lineargradient svg/radialgradient svg/filter math/annotation math/annotation-xml math/script math/style".split()
+)
+#: Foreign elements that hold page elements.
+ENTRIES = frozenset("svg/foreignobject svg/desc svg/title math/mi math/mo math/mn math/ms math/mtext math/annotation-xml".split())
+#: Page elements that end foreign content.
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+#: Elements that go on with SVG text, and those that show the first of their children only.
+RUNS = frozenset("svg/tspan svg/textpath svg/a svg/tref svg/switch".split())
+FIRST_ONLY = frozenset("svg/switch math/semantics math/maction".split())
+FOREIGN_BLOCKS = frozenset("svg/text svg/foreignobject math/mtr math/mlabeledtr".split())
+#: The parts of these stand apart, with a blank between their texts.
+APART = frozenset("math/mfrac math/mroot math/munder math/mover math/munderover math/mtr math/mlabeledtr".split())
+ROWS = frozenset("tr thead tbody tfoot".split())
 HEAD = frozenset("base basefont bgsound link meta title style script noscript template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var del button output".split())
 #: Blank lines about a block; blocks that aren't listed have line breaks only.
@@ -51,16 +73,19 @@ IMPLIED = {
     "option": (frozenset(["option"]), frozenset(["select"])),
     "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select"])),
 }
-SCOPE = frozenset("td th caption table".split())
+SCOPE = frozenset("td th caption table".split()) | ENTRIES
 #: Tables nested deeper than this are rendered as blocks.
 TABLE_DEPTH = 12
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "hidden")
+    """hidden: not displayed; shown: its own text is visible; used: holds visible text; quiet: displays no text of its own."""
 
-    def __init__(self, tag: str, attrs: dict[str, str], hidden: bool):
+    __slots__ = ("tag", "attrs", "kids", "hidden", "shown", "used", "quiet")
+
+    def __init__(self, tag: str, attrs: dict[str, str], hidden: bool, shown: bool = True):
         self.tag, self.attrs, self.kids, self.hidden = tag, attrs, [], hidden
+        self.shown, self.used, self.quiet = shown, False, False
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -73,23 +98,40 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _hidden(tag: str, attrs: dict[str, str]) -> bool:
-    if tag in NEVER or "hidden" in attrs or tag == "dialog" and "open" not in attrs:
+    if tag in NEVER or tag in NEVER_FOREIGN or "hidden" in attrs and "/" not in tag or tag == "dialog" and "open" not in attrs:
+        return True
+    if tag in ROWS and _visibility(tag, attrs) == "collapse" or "/" in tag and attrs.get("display", "").strip().lower() == "none":
         return True
     return "style" in attrs and HIDING.search(attrs["style"]) is not None
 
 
+def _visibility(tag: str, attrs: dict[str, str]) -> str | None:
+    """The visibility that an element sets; None if it has its parent's."""
+    value = attrs.get("visibility", "").strip().lower() if "/" in tag else ""
+    important = False
+    for v, strong in VISIBILITY.findall(COMMENT.sub("", attrs["style"])) if "style" in attrs else ():
+        if strong or not important:
+            value, important = v.lower(), bool(strong)
+    if tag == "math/mphantom" and not value:
+        value = "hidden"
+    return "visible" if value == "initial" else value if value in ("visible", "hidden", "collapse") else None
+
+
 def parse(html: str) -> Node:
     """The tree of a page. Inline elements that hide nothing leave no node: their text is their parent's."""
     root = Node("body", {}, False)
     stack = [root]
     hidden_inline = 0
     p_open = 0
+    n_foreign = n_veiled = 0
     pos, n = 0, len(html)
     match = TOKEN.match
 
     def pop() -> None:
-        nonlocal p_open, hidden_inline
+        nonlocal p_open, hidden_inline, n_foreign, n_veiled
         x = stack.pop()
+        n_veiled -= not x.shown
+        n_foreign -= "/" in x.tag
         if x.tag == "p":
             p_open -= 1
         elif x.tag in INLINE:
@@ -99,7 +141,7 @@ def parse(html: str) -> Node:
         """Pop up to the outermost open element of tags within the bounds."""
         top = 0
         for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in bounds:
+            if stack[i].tag in bounds or stack[i].tag in ENTRIES:
                 break
             if stack[i].tag in tags:
                 top = i
@@ -107,11 +149,52 @@ def parse(html: str) -> Node:
             while len(stack) > top:
                 pop()
 
+    def shown(tag: str, attrs: dict[str, str]) -> bool:
+        own = _visibility(tag, attrs) if attrs or tag == "math/mphantom" else None
+        return stack[-1].shown if own is None else own == "visible"
+
+    def use() -> None:
+        """Mark the open elements as holders of visible text."""
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i].used:
+                break
+            stack[i].used = True
+
+    def leave() -> None:
+        """Pop foreign elements up to a page's element or one that holds page elements."""
+        while "/" in stack[-1].tag and stack[-1].tag not in ENTRIES:
+            pop()
+
+    def push_foreign(tag: str, attrs: dict[str, str], empty: bool) -> None:
+        above = stack[-1]
+        hidden = _hidden(tag, attrs) or above.tag in FIRST_ONLY and any(not isinstance(k, str) for k in above.kids)
+        push(tag, attrs, hidden)
+        x = stack[-1]
+        if tag.startswith("svg/") and tag not in ENTRIES:
+            x.quiet = tag != "svg/text" and (above.quiet or tag not in RUNS or not above.tag.startswith("svg/") or above.tag in ENTRIES)
+        if empty:
+            pop()
+
+    def put(t: str) -> None:
+        """Text of the innermost open element."""
+        top = stack[-1]
+        if top.quiet or not top.shown:
+            return
+        if n_foreign and top.tag.startswith("math/") and top.tag not in ("math/mtext", "math/ms"):
+            t = t.strip(" \t\n\r\f")  # blanks between the parts of a formula aren't shown
+        if not t:
+            return
+        top.kids.append(t)
+        if not top.used and t.strip():
+            use()
+
     def push(tag: str, attrs: dict[str, str], hidden: bool) -> None:
-        nonlocal p_open, hidden_inline
-        x = Node(tag, attrs, hidden)
+        nonlocal p_open, hidden_inline, n_foreign, n_veiled
+        x = Node(tag, attrs, hidden, shown(tag, attrs))
         stack[-1].kids.append(x)
         stack.append(x)
+        n_veiled += not x.shown
+        n_foreign += "/" in tag
         if tag == "p":
             p_open += 1
         elif tag in INLINE:
@@ -124,7 +207,12 @@ def parse(html: str) -> Node:
         if s[0] != "<" or len(s) == 1:
             if stack[-1].tag == "head" and s.strip():
                 pop()
-            stack[-1].kids.append(unescape(s) if "&" in s else s)
+            put(unescape(s) if "&" in s else s)
+            continue
+        if n_foreign and s.startswith("<![CDATA[") and "/" in stack[-1].tag:
+            at = html.find("]]>", m.start())
+            put(html[m.start() + 9 : at if at >= 0 else n])
+            pos = at + 3 if at >= 0 else n
             continue
         end, tag, raw = m.group(1), m.group(2), m.group(3)
         if tag is None:
@@ -133,8 +221,19 @@ def parse(html: str) -> Node:
                 continue
         tag = tag.lower()
         if end:
+            if n_foreign and "/" in stack[-1].tag:
+                i = len(stack) - 1
+                while "/" in stack[i].tag and stack[i].tag.partition("/")[2] != tag:
+                    i -= 1
+                if "/" in stack[i].tag:
+                    while len(stack) > i:
+                        pop()
+                    continue
+                if tag in INLINE or tag in ("p", "br"):  # inline elements may be open without a node
+                    leave()
             if tag == "br":
-                stack[-1].kids.append(Node("br", {}, False))
+                if stack[-1].shown:
+                    stack[-1].kids.append(Node("br", {}, False))
             elif tag in INLINE and not hidden_inline:
                 pass
             elif tag not in ("html", "body"):
@@ -153,12 +252,32 @@ def parse(html: str) -> Node:
                 pop()
             if tag == "body" and _hidden(tag, attrs):
                 root.hidden = True
+            if tag == "body" and root.shown and len(stack) == 1 and _visibility(tag, attrs) in ("hidden", "collapse"):
+                root.shown = False
+                n_veiled += 1
+            continue
+        if n_foreign and "/" in stack[-1].tag:
+            if tag in BREAKOUT or tag == "font" and attrs.keys() & {"color", "face", "size"}:
+                leave()
+            elif stack[-1].tag not in ENTRIES:
+                name = f"{stack[-1].tag.partition('/')[0]}/{tag}"
+                empty = raw.endswith("/")
+                if tag in ("script", "style") and not empty:
+                    stop = re.compile(f"</{tag}(?=[\\s/>]|\\Z)[^>]*>?", re.I).search(html, pos)
+                    pos = stop.end() if stop else n
+                    empty = True
+                push_foreign(name, attrs, empty)
+                continue
+        if tag in ("svg", "math"):
+            if stack[-1].tag == "head":
+                pop()
+            push_foreign(f"{tag}/{tag}", attrs, raw.endswith("/"))
             continue
         hidden = _hidden(tag, attrs) if attrs or tag in NEVER or tag == "dialog" else False
         if tag in INLINE:
             if stack[-1].tag == "head":
                 pop()
-            if hidden or hidden_inline:
+            if hidden or hidden_inline or attrs and _visibility(tag, attrs):
                 push(tag, attrs, hidden)
             continue
         if stack[-1].tag == "head" and tag not in HEAD:
@@ -170,19 +289,21 @@ def parse(html: str) -> Node:
             if tag in ("td", "th") and stack[-1].tag != "tr":
                 push("tr", {}, False)
         if tag in VOID:
-            if tag in ("br", "hr", "wbr"):
+            if tag in ("br", "hr", "wbr") and shown(tag, attrs):
                 stack[-1].kids.append(Node(tag, attrs, hidden))
             continue
         if tag in RAW:
             stop = re.compile(f"</{re.escape(tag)}(?=[\\s/>]|\\Z)[^>]*>?", re.I).search(html, pos)
             body = html[pos : stop.start() if stop else n]
             pos = stop.end() if stop else n
-            if tag in ("textarea", "xmp") and not hidden:
+            if tag in ("textarea", "xmp") and not hidden and shown(tag, attrs):
                 x = Node("pre", attrs, False)
                 x.kids.append(unescape(body) if tag == "textarea" else body)
                 stack[-1].kids.append(x)
+                if body.strip():
+                    use()
             continue
-        if raw.endswith("/") and tag in ("svg", "math", "object"):
+        if raw.endswith("/") and tag == "object":
             continue
         push(tag, attrs, hidden)
     return root
@@ -326,6 +447,11 @@ def _table(table: Node, depth: int) -> list[str]:
     return out
 
 
+def _ordered(todo: list) -> bool:
+    """Whether the innermost list is numbered."""
+    return next((t[0].tag for t in reversed(todo) if t[0].tag in LISTS), "") == "ol"
+
+
 def _lines(root: Node, depth: int = 0) -> list[str]:
     page = Page()
     todo: list[tuple[Node, Iterator, str, int]] = [(root, iter(root.kids), "", 0)]  # node, kids left, indent before, items so far
@@ -336,7 +462,7 @@ def _lines(root: Node, depth: int = 0) -> list[str]:
         x = next(kids, None)
         if x is None:
             todo.pop()
-            if todo and node.tag not in INLINE:
+            if todo and node.tag not in INLINE and ("/" not in node.tag or node.tag in FOREIGN_BLOCKS):
                 page.end_line(margin)
                 if node.tag == "li" and page.mark:  # an empty item
                     page.start_line()
@@ -357,6 +483,17 @@ def _lines(root: Node, depth: int = 0) -> list[str]:
         if x.hidden:
             continue
         tag = x.tag
+        if not (x.shown or x.used):  # takes its place in a list, but breaks no line
+            if tag == "li" and _ordered(todo):
+                counts[-1] += 1
+            continue
+        if "/" in tag and tag not in FOREIGN_BLOCKS:
+            if node.tag in APART and x is not node.kids[0]:
+                page.blank = True
+            if tag == "svg/tspan" and "x" in x.attrs and ("y" in x.attrs or "dy" in x.attrs) or tag == "math/math" and x.attrs.get("display") == "block":
+                page.end_line()
+            todo.append((x, iter(x.kids), page.indent, 0))
+            continue
         if tag == "br":
             if not page.line:
                 page.start_line()
@@ -387,10 +524,10 @@ def _lines(root: Node, depth: int = 0) -> list[str]:
             if page.mark:  # an item that holds nothing but this one's list
                 page.start_line()
                 page.end_line()
-            ordered = any(t[0].tag in LISTS for t in todo) and next(t[0].tag for t in reversed(todo) if t[0].tag in LISTS) == "ol"
+            ordered = _ordered(todo)
             if ordered:
                 counts[-1] += 1
-            page.mark = f"{counts[-1]}. " if ordered else "- "
+            page.mark = "" if not x.shown else f"{counts[-1]}. " if ordered else "- "
             page.indent += " " * len(page.mark)
         elif tag in ("dd", "blockquote"):
             page.indent += "    "
