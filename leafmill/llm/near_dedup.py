@@ -16,6 +16,7 @@ pairs: skipping pairs within one component changes no group, so groups of thousa
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -199,19 +200,31 @@ def groups(spark: SparkSession, docs: DataFrame, text: str = "text", threshold:
     return ids.withColumnRenamed("id", "doc_id"), written(members.select(F.col("node").alias("lead"), F.col("root").alias("group_id")), "members")
 
 
+def _names(docs: DataFrame, text: str) -> tuple[bool, Column, Callable[[str], Column]]:
+    """(shared, name, doc_id of a column of names). A row's name is its doc_id, where rows share one its doc_id and
+    a hash of its text, so that different texts of a doc_id are grouped each by itself."""
+    shared = not docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty()
+    if not shared:
+        return False, F.col("doc_id"), F.col
+    name = F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("h"))
+    return True, F.when(F.col("doc_id").isNotNull(), name), lambda c: F.col(c).getField("doc_id")
+
+
 def assign(spark: SparkSession, docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, group_id, size, keep) for every row: group_id is the least doc_id of the group of near
     duplicates, size the group's rows, keep whether doc_id is that least one.
 
     A null doc_id gives (null, null, 1, true): it can't be named in a group. Null, empty and wordless
-    texts are alone: group_id is their doc_id. Rows that share a doc_id are one document: they fall into
-    one group, all of them with the same keep. Very long texts are sketched and compared whole. No rows:
-    no rows. Columns other than doc_id and text aren't read.
+    texts are alone: group_id is their doc_id. Rows that share a doc_id are each in their own text's group,
+    and have its keep. Very long texts are sketched and compared whole. No rows: no rows. Columns other than
+    doc_id and text aren't read.
     """
-    ids, members = groups(spark, docs, text, threshold)
+    _, name, doc_id = _names(docs, text)
+    ids, members = groups(spark, docs.select(name.alias("doc_id"), text), text, threshold)
     root = ids.join(members, "lead", "left").groupBy("doc_id").agg(F.min(F.coalesce("group_id", "lead")).alias("group_id"))
     root = written(root, "roots")
-    rows = docs.select("doc_id").join(root, "doc_id", "left").withColumn("group_id", F.coalesce("group_id", "doc_id"))
+    rows = docs.select(name.alias("doc_id")).join(root, "doc_id", "left").withColumn("group_id", F.coalesce("group_id", "doc_id"))
+    rows = rows.select(doc_id("doc_id").alias("doc_id"), doc_id("group_id").alias("group_id"))
     size = rows.where("group_id is not null").groupBy("group_id").agg(F.count("*").alias("size"))
     out = rows.join(size, "group_id", "left")
     return out.select("doc_id", "group_id", F.coalesce("size", F.lit(1)).cast("long").alias("size"), (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("group_id"))).alias("keep"))
@@ -220,14 +233,18 @@ def assign(spark: SparkSession, docs: DataFrame, text: str = "text", threshold:
 def dedup(spark: SparkSession, docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without those near duplicates whose group has a lesser doc_id; all columns stay.
 
+    Of rows that share a doc_id, those go whose own text is such a near duplicate, and the others stay.
     Of rows that share the doc_id that stays, one stays for each distinct folded text of it if there is
     a copy. Texts that stay aren't shuffled while the dropped ids are at most BROADCAST_ROWS.
     """
-    ids, members = groups(spark, docs, text, threshold)
+    shared, name, doc_id = _names(docs, text)
+    ids, members = groups(spark, docs.select(name.alias("doc_id"), text), text, threshold)
     root = written(ids.join(members, "lead", "left").groupBy("doc_id").agg(F.min(F.coalesce("group_id", "lead")).alias("root"), F.count("*").alias("rows")), "roots")
-    gone = root.where("doc_id <> root").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
-    twice = root.where("rows > 1 and doc_id = root").select(F.col("doc_id").alias("_twice"))
+    gone = root.where(doc_id("doc_id") != doc_id("root")).select(F.col("doc_id").alias("_gone"))
+    kept = docs.join(small(gone), name == F.col("_gone"), "left_anti")
+    if not shared:
+        return kept
+    twice = root.where(doc_id("doc_id") == doc_id("root")).groupBy(doc_id("doc_id").alias("_twice")).agg(F.sum("rows").alias("rows")).where("rows > 1").select("_twice")
     if twice.isEmpty():
         return kept
     keys = small(twice)
