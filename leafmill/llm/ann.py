@@ -1,34 +1,43 @@
 """Approximate nearest neighbours by learned partitions.
 
-The exact neighbour graph of a bounded sample is partitioned into balanced parts with few cut edges; a
-small classifier learns, for a vector, the distribution of its neighbours over the parts (Dong, Indyk,
-Razenshteyn and Wagner, ICLR 2020). Every vector is stored in its most probable part and, as a query,
-looks into its several most probable parts, where all candidates are reranked by exact similarity. How
-many parts are probed is calibrated on held-out rows of the sample for a target recall.
-
-A part is compared in tasks of at most BLOCK members and BLOCK queries, so a crowded part neither
-overflows a task nor loses a candidate.
+The exact neighbour graph of a sample is partitioned into balanced parts with few cut edges; a small
+classifier learns, for a vector, the distribution of its neighbours over the parts (Dong, Indyk,
+Razenshteyn and Wagner, ICLR 2020). Every vector is stored in its most probable part; a query looks into
+its several most probable parts, where all candidates are reranked by exact similarity. How many parts are
+probed is calibrated for a target recall: exact neighbours of some rows are searched in the whole table, in
+one pass without a shuffle, and it is counted how far down the router's ranking their parts lie.
+
+There are about as many parts as a part has vectors (the square root of their number, at every size), and
+the sample grows with the parts, SAMPLE_PER_PART vectors each. Parts are compared in groups: a task holds at
+most BLOCK members and BLOCK queries of a group, so a crowded part neither overflows a task nor loses a
+candidate, and a query travels once a group.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm._spark import arrow_batches, small, written
 
-#: Bound of the sample that graph and classifier are made from, and of the parts.
-SAMPLE, MAX_PARTS = 20_000, 1024
-#: Vectors of a part that the number of parts aims at.
-PART_ROWS = 2048
-BLOCK = 4096
+#: Sampled vectors of a part, and the bound of the sample that graph and classifier are made from.
+SAMPLE_PER_PART, SAMPLE = 64, 1 << 20
+#: Vectors of a group of parts that their number aims at, and the most of one task.
+GROUP, BLOCK = 4096, 16_384
 NEIGHBOURS = 10
-TARGET_RECALL = 0.95
-HIDDEN = 128
+TARGET_RECALL = 0.92
+#: Rows whose exact neighbours calibrate the number of probes.
+HELD = 400
+HIDDEN = 256
+#: The classifier's passes over its sample: EPOCHS at least, and so many that it sees FIT_ROWS rows.
+EPOCHS, FIT_ROWS = 12, 250_000
 
 
 def normed(x: np.ndarray) -> np.ndarray:
@@ -40,12 +49,12 @@ def exact_neighbours(q: np.ndarray, x: np.ndarray, k: int, skip: np.ndarray | No
     """Indices of the k most similar rows of x for each row of q; skip[i] is left out for query i."""
     k = min(k, max(len(x) - (skip is not None), 0))
     out = np.zeros((len(q), k), np.int64)
-    for i in range(0, len(q), 1024):
-        s = q[i : i + 1024] @ x.T
+    for i in range(0, len(q), 256):
+        s = q[i : i + 256] @ x.T
         if skip is not None:
-            s[np.arange(len(s)), skip[i : i + 1024]] = -np.inf
+            s[np.arange(len(s)), skip[i : i + 256]] = -np.inf
         if k:
-            out[i : i + 1024] = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            out[i : i + 256] = np.argpartition(-s, k - 1, axis=1)[:, :k]
     return out
 
 
@@ -86,154 +95,261 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int = 6
 
 @dataclass
 class Router:
-    """A network of one hidden layer: vector -> scores of the parts."""
+    """A linear layer and a network of one hidden layer beside it: vector -> scores of the parts."""
 
     w1: np.ndarray
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
+    w0: np.ndarray
     probes: int = 1
+    recall: float = 0.0
 
     @property
     def parts(self) -> int:
         return len(self.b2)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+        return np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2 + x @ self.w0
 
+    def order(self, x: np.ndarray) -> np.ndarray:
+        """Parts of each row, the most probable first."""
+        return np.argsort(-self.scores(x), axis=1, kind="stable")
 
-def fit_router(x: np.ndarray, target: np.ndarray, epochs: int = 12, batch: int = 256, rate: float = 2e-3, seed: int = 3) -> Router:
-    """Minimise cross entropy to the target distributions with Adam."""
+
+def fit_router(x: np.ndarray, graph: np.ndarray, part: np.ndarray, parts: int, rate: float = 4e-3, seed: int = 3) -> Router:
+    """Minimise cross entropy to the distribution of each row and its neighbours over the parts, with Adam. The
+    linear layer starts from the parts' mean directions."""
     rng = np.random.default_rng(seed)
-    d, parts = x.shape[1], target.shape[1]
-    ps = [rng.normal(0, (2 / d) ** 0.5, (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, (1 / HIDDEN) ** 0.5, (HIDDEN, parts)), np.zeros(parts)]
+    (n, d), k = x.shape, graph.shape[1]
+    mean = np.zeros((parts, d), np.float32)
+    np.add.at(mean, part, x)
+    ps = [rng.normal(0, (2 / d) ** 0.5, (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.1 * (1 / HIDDEN) ** 0.5, (HIDDEN, parts)), np.zeros(parts), normed(mean).T * 8]
     ps = [p.astype(np.float32) for p in ps]
     m, v, t = [np.zeros_like(p) for p in ps], [np.zeros_like(p) for p in ps], 0
+    batch = min(512, max(64, n // 8))
+    per_epoch = -(-n // batch)
+    epochs = max(EPOCHS, FIT_ROWS // n)
     for _ in range(epochs):
-        order = rng.permutation(len(x))
-        for i in range(0, len(x), batch):
+        order = rng.permutation(n)
+        for i in range(0, n, batch):
             b = order[i : i + batch]
+            where = np.concatenate([part[graph[b]], part[b][:, None]], axis=1) + np.arange(len(b))[:, None] * parts
+            target = np.bincount(where.ravel(), minlength=len(b) * parts).reshape(len(b), parts) / np.float32(k + 1)
             a = x[b] @ ps[0] + ps[1]
             h = np.maximum(a, 0)
-            z = h @ ps[2] + ps[3]
+            z = h @ ps[2] + ps[3] + x[b] @ ps[4]
             z = np.exp(z - z.max(axis=1, keepdims=True))
-            g = (z / z.sum(axis=1, keepdims=True) - target[b]) / len(b)
+            g = ((z / z.sum(axis=1, keepdims=True) - target) / len(b)).astype(np.float32)
             gh = (g @ ps[2].T) * (a > 0)
             t += 1
-            for k, grad in enumerate((x[b].T @ gh, gh.sum(axis=0), h.T @ g, g.sum(axis=0))):
-                m[k] = 0.9 * m[k] + 0.1 * grad
-                v[k] = 0.999 * v[k] + 0.001 * grad * grad
-                ps[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+            step = rate * (1 - t / (epochs * per_epoch + 1))
+            for j, grad in enumerate((x[b].T @ gh, gh.sum(axis=0), h.T @ g, g.sum(axis=0), x[b].T @ g)):
+                m[j] = 0.9 * m[j] + 0.1 * grad
+                v[j] = 0.999 * v[j] + 0.001 * grad * grad
+                ps[j] -= step * (m[j] / (1 - 0.9**t)) / (np.sqrt(v[j] / (1 - 0.999**t)) + 1e-8)
     return Router(*ps)
 
 
-def build(x: np.ndarray, n_all: int, k: int = NEIGHBOURS, target_recall: float = TARGET_RECALL, part_rows: int = PART_ROWS) -> Router:
-    """A router from the normed vectors of a sample of n_all vectors."""
-    want = min(MAX_PARTS, max(n_all // part_rows, 1), max(len(x) // 20, 1))
-    parts = 1 << int(np.log2(want))
-    if parts == 1:
-        d = x.shape[1] if x.ndim == 2 else 1
-        return Router(np.zeros((d, 1), np.float32), np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32), 1)
-    graph = exact_neighbours(x, x, k, np.arange(len(x)))
-    part = balanced_parts(x, graph, parts)
-    target = np.zeros((len(x), parts), np.float32)
-    np.add.at(target, (np.repeat(np.arange(len(x)), graph.shape[1]), part[graph].ravel()), 1 / (graph.shape[1] + 1))
-    target[np.arange(len(x)), part] += 1 / (graph.shape[1] + 1)
-    held = np.random.default_rng(11).permutation(len(x))[: max(len(x) // 10, 1)]
-    fit = np.ones(len(x), bool)
-    fit[held] = False
-    router = fit_router(x[fit], target[fit])
-    home = router.scores(x).argmax(axis=1)
-    order = np.argsort(-router.scores(x[held]), axis=1, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(parts)[None, :].repeat(len(held), 0), axis=1)
-    need = np.take_along_axis(rank, home[graph[held]], axis=1)  # probes that reach each neighbour
-    recall = np.array([(need < m).mean() for m in range(1, parts + 1)])
-    router.probes = int(np.argmax(recall >= target_recall)) + 1 if (recall >= target_recall).any() else parts
-    return router
-
-
 def _matrix(col: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     return np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(-1, d)
 
 
-def _route(router, d: int):
-    def route(col: pa.Array) -> pa.Array:
-        r = router.value
-        s = r.scores(normed(_matrix(col, d)))
-        top = np.argsort(-s, axis=1, kind="stable")[:, : r.probes].astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1) * top.shape[1], pa.int32()), pa.array(top.ravel()))
+def _graph(spark: SparkSession, x: np.ndarray, k: int) -> np.ndarray:
+    """exact_neighbours of the sample among itself, computed by tasks of some rows each."""
+    n, rows = len(x), 2048
+    shared = spark.sparkContext.broadcast(x)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in b.column(0).to_pylist():
+                at = np.arange(lo, min(lo + rows, n))
+                near = exact_neighbours(shared.value[at], shared.value, k, at)
+                ends = pa.array(np.arange(len(at) + 1) * near.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.ListArray.from_arrays(ends, pa.array(near.ravel().astype(np.int32)))], ["i", "near"])
+
+    got = spark.range(0, n, rows, numPartitions=-(-n // rows)).mapInArrow(run, "i long, near array<int>").toArrow()
+    near = got.column("near").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(n, -1)
+    out = np.empty_like(near)
+    out[got.column("i").to_numpy()] = near
+    shared.destroy()
+    return out
+
+
+def parts_for(n: int) -> int:
+    """The least power of two that is no less than the square root of n."""
+    return 1 << math.ceil(math.log2(max(n, 1)) / 2)
+
+
+def _held_search(x: np.ndarray, h: np.ndarray, k: int, d: int):
+    """The k vectors of a task's rows most similar to each row of x: (q, sim, part); h: hashes of their ids."""
 
-    return route
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sims, parts = np.full((len(x), k), -np.inf, np.float32), np.full((len(x), k), -1, np.int32)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            s = x @ normed(_matrix(b.column(1), d)).T
+            s[h[:, None] == b.column(0).to_numpy()[None, :]] = -np.inf
+            p = np.broadcast_to(b.column(2).to_numpy(), s.shape)
+            s, p = np.concatenate([sims, s], axis=1), np.concatenate([parts, p], axis=1)
+            top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            sims, parts = np.take_along_axis(s, top, axis=1), np.take_along_axis(p, top, axis=1)
+        q, r = np.nonzero(sims > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(sims[q, r]), pa.array(parts[q, r])], ["q", "sim", "part"])
+
+    return run
+
+
+def calibrate(router: Router, routed: DataFrame, n: int, d: int, k: int, target_recall: float) -> None:
+    """Set router.probes to the least that reaches target_recall of the exact neighbours, over all of routed
+    (id, x, part), of about HELD of its rows; recall is what they reach."""
+    share = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) < F.lit(min(1.0, HELD / n) * (1 << 30))
+    got = routed.where(share).select(F.xxhash64("id").alias("h"), "x").toArrow()
+    x = normed(_matrix(got.column("x"), d))
+    if len(x) < 1 or n < 2:
+        router.probes, router.recall = router.parts, 1.0
+        return
+    found = routed.select(F.xxhash64("id").alias("h"), "x", "part").mapInArrow(_held_search(x, got.column("h").to_numpy(), k, d), "q long, sim float, part int")
+    best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "part"))).where(F.col("r") <= k).select("q", "part").toArrow()
+    order = router.order(x)
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(router.parts)[None, :].repeat(len(x), 0), axis=1)
+    need = rank[best.column("q").to_numpy(), best.column("part").to_numpy()]
+    reached = np.cumsum(np.bincount(need, minlength=router.parts)) / max(len(need), 1)
+    router.probes = min(int((reached < target_recall).sum()) + 1, router.parts)
+    router.recall = float(reached[router.probes - 1])
+
+
+def index(spark: SparkSession, x: DataFrame, n: int, d: int, k: int = NEIGHBOURS, target_recall: float = TARGET_RECALL, sample: int = SAMPLE) -> tuple[Router, DataFrame]:
+    """(calibrated router, routed) of the n vectors x (id, x, ...) of dimension d; routed has part, the most probable."""
+    parts = parts_for(n)
+    want = min(SAMPLE_PER_PART * parts, sample)
+    picked = x if n <= want else x.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(want / n * (1 << 30)))
+    got = picked.select(F.xxhash64("id").alias("h"), "x").toArrow().sort_by("h")  # a fixed order
+    y = normed(_matrix(got.column("x"), d))
+    graph = _graph(spark, y, k) if len(y) else np.zeros((0, 0), np.int64)
+    router = fit_router(y, graph, balanced_parts(y, graph, parts), parts)
+    shared = spark.sparkContext.broadcast(router)
+
+    def home(col: pa.Array) -> pa.Array:
+        s = normed(_matrix(col, d))
+        return pa.array(np.concatenate([np.zeros(0, np.int64), *(shared.value.scores(s[i : i + 512]).argmax(axis=1) for i in range(0, len(s), 512))]), pa.int32())
+
+    routed = written(x.withColumn("part", F.arrow_udf(home, "int")("x")), "routed")
+    calibrate(router, routed, n, d, k, target_recall)
+    return router, routed
+
+
+def _probe(router, d: int, per: int):
+    """The parts that a query probes, by groups of per parts."""
+
+    def probe(col: pa.Array) -> pa.Array:
+        x, r = normed(_matrix(col, d)), router.value
+        top = np.concatenate([np.zeros((0, r.probes), np.int64), *(r.order(x[i : i + 512])[:, : r.probes] for i in range(0, len(x), 512))])
+        flat, row = np.sort(top, axis=1).ravel(), np.repeat(np.arange(len(x)), r.probes)
+        group = flat // per
+        new = np.ones(len(flat), bool)
+        new[1:] = (row[1:] != row[:-1]) | (group[1:] != group[:-1])
+        starts = np.flatnonzero(new)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(flat)), pa.int32()), pa.array(flat, pa.int32()))
+        each = pa.StructArray.from_arrays([pa.array(group[starts], pa.int32()), lists], ["grp", "parts"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[starts], np.arange(len(x) + 1)), pa.int32()), each)
+
+    return probe
 
 
 def _search(d: int, k: int, id_type: pa.DataType):
-    """Of one block of members and one of queries: each query's k most similar members."""
-    names = ["q", "ids", "sims"]
+    """Of one block of members and one of queries of a group: each query's k most similar members in its parts."""
+    names = ["vec_id", "neighbour_id", "similarity"]
 
     def run(members: pa.Table, queries: pa.Table) -> pa.Table:
-        n = queries.num_rows
-        if not n or not members.num_rows:
-            return pa.table([pa.array([], id_type), pa.array([], pa.list_(id_type)), pa.array([], pa.list_(pa.float64()))], names)
-        m_id, q_id = members.column("id").to_numpy(), queries.column("id").to_numpy()
+        if not queries.num_rows or not members.num_rows:
+            return pa.table([pa.array([], id_type), pa.array([], id_type), pa.array([], pa.float64())], names)
+        members = members.sort_by("part")
+        m_id, q_id = members.column("id").combine_chunks(), queries.column("id").combine_chunks()
+        number = pc.rank(pa.concat_arrays([m_id, q_id]), tiebreaker="dense").to_numpy().astype(np.int64)
+        m_no, q_no = number[: len(m_id)], number[len(m_id) :]
         m, q = normed(_matrix(members.column("x"), d)), normed(_matrix(queries.column("x"), d))
-        kk = min(k + 1, len(m))
-        ids, sims, at = [], [], [0]
-        for i in range(0, n, 512):
-            s = q[i : i + 512] @ m.T
-            cut = np.partition(s, len(m) - kk, axis=1)[:, len(m) - kk]
-            r, c = np.nonzero(s >= cut[:, None] - np.float32(1e-6))
-            other = m_id[c] != q_id[i + r]
-            r, c = r[other], c[other]
-            exact = np.round(np.einsum("ij,ij->i", q[i + r].astype(np.float64), m[c].astype(np.float64)), 7)
-            o = np.lexsort((m_id[c], -exact, r))
-            r, c, exact = r[o], c[o], exact[o]
-            pos = np.arange(len(r)) - np.searchsorted(r, r)
-            keep = pos < k
-            ids.append(m_id[c[keep]])
-            sims.append(exact[keep])
-            at.extend(at[-1] + np.cumsum(np.bincount(r[keep], minlength=len(s))))
-        offs = pa.array(at, pa.int32())
-        return pa.table([queries.column("id").combine_chunks(), pa.ListArray.from_arrays(offs, pa.array(np.concatenate(ids), id_type)), pa.ListArray.from_arrays(offs, pa.array(np.concatenate(sims)))], names)
+        part = members.column("part").to_numpy()
+        lists = queries.column("parts").combine_chunks()
+        ask, who = lists.flatten().to_numpy(), np.repeat(np.arange(len(q)), pc.list_value_length(lists).to_numpy())
+        o = np.argsort(ask, kind="stable")
+        ask, who = ask[o], who[o]
+        rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for p in np.unique(part):
+            lo, hi = np.searchsorted(part, [p, p + 1])
+            mine = who[slice(*np.searchsorted(ask, [p, p + 1]))]
+            kk = min(k + 1, hi - lo)
+            for i in range(0, len(mine), 256):
+                s = q[mine[i : i + 256]] @ m[lo:hi].T
+                cut = np.partition(s, hi - lo - kk, axis=1)[:, hi - lo - kk]
+                r, c = np.nonzero(s >= cut[:, None] - np.float32(1e-6))
+                rows.append(mine[i + r])
+                cols.append(lo + c)
+        r, c = np.concatenate(rows), np.concatenate(cols)
+        other = m_no[c] != q_no[r]
+        r, c = r[other], c[other]
+        exact = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", q[r[i : i + 65536]].astype(np.float64), m[c[i : i + 65536]].astype(np.float64)) for i in range(0, len(r), 65536))]).round(7)
+        o = np.lexsort((m_no[c], -exact, r))
+        r, c, exact = r[o], c[o], exact[o]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+        return pa.table([q_id.take(pa.array(r[keep])), m_id.take(pa.array(c[keep])), pa.array(exact[keep])], names)
 
     return run
 
 
-def neighbours(spark: SparkSession, vectors: DataFrame, k: int = NEIGHBOURS, sample: int = SAMPLE, target_recall: float = TARGET_RECALL, part_rows: int = PART_ROWS) -> DataFrame:
-    """(vec_id, rank, neighbour_id, similarity): for every vector as a query its k nearest others by cosine.
+def clean(vectors: DataFrame, queries: Column | None = None) -> tuple[DataFrame, int, int]:
+    """(id, x, ask) of the usable vectors, one row an id, with their number and dimension; ask: whether it is a query."""
+    x = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<float>").alias("x"), F.coalesce(F.lit(True) if queries is None else queries, F.lit(False)).alias("ask"))
+    x = x.where("id is not null and x is not null")
+    x = x.where(F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & (F.size("x") > 0))
+    sizes = x.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    if sizes is None:
+        return x, 0, 0
+    x = x.where(F.size("x") == sizes["d"])
+    twice = written(x.groupBy("id").count().where("count > 1"), "twice")
+    extra = twice.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0))).first()[0]
+    keys = small(twice.select("id"))
+    again = x.join(keys, "id", "left_semi").groupBy("id").agg(F.min_by("x", F.xxhash64("x")).alias("x"), F.max("ask").alias("ask"))
+    return x.join(keys, "id", "left_anti").union(again), sizes["count"] - extra, sizes["d"]
+
+
+def neighbours(spark: SparkSession, vectors: DataFrame, k: int = NEIGHBOURS, queries: Column | None = None, target_recall: float = TARGET_RECALL, sample: int = SAMPLE) -> DataFrame:
+    """(vec_id, rank, neighbour_id, similarity): for every query its k nearest other vectors by cosine.
+
+    queries: the condition on a row of vectors that makes it a query (None: all rows); all rows are searched.
+    sample: bound of the vectors that graph and classifier are made from, and which are sent to all tasks;
+    every vector is indexed, and the number of probes is calibrated on the whole table.
 
     Ties in similarity (to 7 decimals) go to the lesser vec_id. Fewer than k others: as many as there are. A
     zero vector has similarity 0 to all. Left out, both as query and neighbour: null ids, null vectors,
     vectors with a null, NaN or infinite element or of another dimension than the most common. Rows
-    that share a vec_id are one vector, the one least by hash. No rows: no rows. Other columns aren't read.
+    that share a vec_id are one vector, the one least by hash, and a query if one of them is. vec_id may have
+    any type that orders. No rows: no rows. Other columns are read by queries alone.
     """
     arrow_batches(spark, 5000)
-    x = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<float>").alias("x")).where("id is not null and x is not null")
-    x = x.where(F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & (F.size("x") > 0))
-    sizes = x.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    kind = x.schema["id"].dataType.simpleString()
-    schema = f"vec_id {kind}, rank int, neighbour_id {kind}, similarity double"
-    if sizes is None:
-        return spark.createDataFrame([], schema)
-    d = sizes["d"]
-    x = written(x.where(F.size("x") == d).groupBy("id").agg(F.min_by("x", F.xxhash64("x")).alias("x")), "vectors")
-    n = x.count()
-    picked = x if n <= sample else x.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(sample / n * (1 << 30)))
-    data = picked.orderBy(F.xxhash64("id"), "id").select("x").toArrow()
-    router = spark.sparkContext.broadcast(build(normed(_matrix(data.column(0), d)), n, k, target_recall, part_rows))
-    routed = written(x.withColumn("parts", F.arrow_udf(_route(router, d), "array<int>")("x")), "routed")
-    members = routed.select("id", "x", F.col("parts")[0].alias("part"))
-    queries = routed.select("id", "x", F.explode("parts").alias("part"))
-    pieces = lambda t, name: t.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    grid = written(pieces(members, "nm").join(pieces(queries.select("part"), "nq"), "part"), "grid")
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+    x, n, d = clean(vectors, queries)
+    if not n:
+        return spark.createDataFrame([], f"vec_id {kind}, rank int, neighbour_id {kind}, similarity double")
+    router, routed = index(spark, x, n, d, k, target_recall, sample)
+    per = max(1, GROUP * router.parts // n)
+    shared = spark.sparkContext.broadcast(router)
+    members = routed.select("id", "x", "part", F.expr(f"part div {per}").cast("int").alias("grp"))
+    asked = routed.where("ask").withColumn("p", F.arrow_udf(_probe(shared, d, per), "array<struct<grp:int,parts:array<int>>>")("x"))
+    asked = asked.select("id", "x", F.explode("p").alias("p")).select("id", "x", "p.grp", "p.parts")
+    pieces = lambda t, name: t.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    grid = written(pieces(members, "nm").join(pieces(asked.select("grp"), "nq"), "grp"), "grid")
     spread = F.xxhash64("id", F.lit(1))
-    members = members.join(small(grid), "part").select("part", F.pmod(spread, F.col("nm")).cast("int").alias("mb"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), F.col("id").alias("id"), F.col("x").alias("x"))
-    queries = queries.join(small(grid), "part").select("part", F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("mb"), F.pmod(spread, F.col("nq")).cast("int").alias("qb"), F.col("id").alias("id"), F.col("x").alias("x"))
-    id_type = pa.int32() if kind == "int" else pa.int64() if kind == "bigint" else pa.string()
-    keys = ["part", "mb", "qb"]
-    found = members.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(_search(d, k, id_type), f"q {kind}, ids array<{kind}>, sims array<double>")
-    best = found.select("q", F.arrays_zip(F.transform("sims", lambda s: -s).alias("far"), F.col("ids").alias("id")).alias("c")).groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("c"))), 1, k).alias("c"))
-    out = best.select(F.col("q").alias("vec_id"), F.posexplode("c").alias("rank", "c"))
-    return out.select("vec_id", (F.col("rank") + 1).alias("rank"), F.col("c.id").alias("neighbour_id"), (-F.col("c.far")).alias("similarity"))
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda *names: [F.col(c).alias(c) for c in names]  # noqa: E731 - new columns: both sides come from one table
+    members = members.join(small(grid), "grp").select(*own("grp"), F.pmod(spread, F.col("nm")).cast("int").alias("mb"), each("nq").alias("qb"), *own("id", "x", "part"))
+    asked = asked.join(small(grid), "grp").select(*own("grp"), each("nm").alias("mb"), F.pmod(spread, F.col("nq")).cast("int").alias("qb"), *own("id", "x", "parts"))
+    keys = ["grp", "mb", "qb"]
+    id_type = pa.schema([routed.select("id").limit(0).toArrow().schema.field("id")]).field("id").type
+    found = members.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_search(d, k, id_type), f"vec_id {kind}, neighbour_id {kind}, similarity double")
+    best = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "neighbour_id"))
+    return found.select("vec_id", best.cast("int").alias("rank"), "neighbour_id", "similarity").where(F.col("rank") <= k)
