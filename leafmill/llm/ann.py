@@ -36,8 +36,8 @@ TARGET_RECALL = 0.92
 #: Rows whose exact neighbours calibrate the number of probes.
 HELD = 400
 HIDDEN = 256
-#: The classifier's passes over its sample: EPOCHS at least, and so many that it sees FIT_ROWS rows.
-EPOCHS, FIT_ROWS = 12, 250_000
+#: The classifier's passes over its sample: as many as make FIT_ROWS rows, within EPOCHS.
+EPOCHS, FIT_ROWS = (12, 300), 250_000
 
 
 def normed(x: np.ndarray) -> np.ndarray:
@@ -127,9 +127,9 @@ def fit_router(x: np.ndarray, graph: np.ndarray, part: np.ndarray, parts: int, r
     ps = [rng.normal(0, (2 / d) ** 0.5, (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.1 * (1 / HIDDEN) ** 0.5, (HIDDEN, parts)), np.zeros(parts), normed(mean).T * 8]
     ps = [p.astype(np.float32) for p in ps]
     m, v, t = [np.zeros_like(p) for p in ps], [np.zeros_like(p) for p in ps], 0
-    batch = min(512, max(64, n // 8))
+    batch = min(512, max(128, n // 8))
     per_epoch = -(-n // batch)
-    epochs = max(EPOCHS, FIT_ROWS // n)
+    epochs = min(max(EPOCHS[0], FIT_ROWS // n), EPOCHS[1])
     for _ in range(epochs):
         order = rng.permutation(n)
         for i in range(0, n, batch):
