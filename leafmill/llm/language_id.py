@@ -33,8 +33,8 @@ SCALE = 20.0  # of mean margins; the sign alone decides
 #: Bound of the sample that the machines are fitted on, in documents a language.
 TRAIN_PER_LANG = 400
 #: An n-gram counts as known once SEEN training documents of one language have it, so that a mislabelled foreign
-#: text doesn't vouch for itself; of a language with fewer than SPARSE training documents one is enough.
-SEEN, SPARSE = 2, 10
+#: text doesn't vouch for itself.
+SEEN = 2
 #: A document is rejected when less than this share of its n-grams was seen in training.
 MIN_KNOWN = 0.5
 
@@ -137,7 +137,7 @@ def fit(rows: list[tuple[str, str]], families: dict[str, tuple[str, ...]] = FAMI
     for x in set(langs):
         own = [ids for (ids, _), y in zip(feats, langs) if y == x]
         often = np.bincount(np.concatenate(own).astype(np.int64), minlength=NONE + 1)
-        seen[often >= (SEEN if len(own) >= SPARSE else 1)] = 1
+        seen[often >= SEEN] = 1
     model.weights = np.stack([*columns, seen], axis=1).astype(np.float32)
     return model
 
@@ -198,25 +198,30 @@ def predict(model: Model, data: np.ndarray, offs: np.ndarray, min_known: float =
 
 
 def train_sample(docs: DataFrame, lang: str = "lang", text: str = "text", per_lang: int = TRAIN_PER_LANG) -> list[tuple[str, str]]:
-    """At most per_lang labelled documents of each language, whole texts: those least by hash of doc_id.
+    """At most per_lang labelled (text, language) rows of each language, whole texts: those least by hash of
+    doc_id and, among rows that share one, by hash of the text; rows with equal texts count once.
 
-    The ids are chosen from two narrow columns; only the chosen rows' texts are read to the driver.
+    The hashes are chosen from two narrow columns; only the chosen rows' texts are read to the driver. A chosen
+    row without a text takes no other's place.
     """
-    known = docs.where(F.col(lang).isNotNull() & F.col("doc_id").isNotNull()).select(F.col(lang).alias("l"), F.col("doc_id").cast("string").alias("d"))
-    best = F.expr(f"slice(array_sort(collect_set(struct(h, d))), 1, {per_lang})")
-    counts = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52))
+    known = docs.where(F.col(lang).isNotNull() & F.col("doc_id").isNotNull())
+    narrow = known.select(F.col(lang).alias("l"), h.alias("h"))
+    counts = {r["l"]: r["n"] for r in narrow.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
-    h = F.xxhash64("d")
-    share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, (3.0 * per_lang + 50) / n)))])
-    near = known.withColumn("h", h).where(F.pmod("h", F.lit(1 << 30)) < share[F.col("l")] * (1 << 30))
-    ids = [x.d for r in near.groupBy("l").agg(best.alias("x")).collect() for x in r["x"]]
-    got = docs.where(F.col("doc_id").cast("string").isin(ids) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    rows = sorted({(r[0], r[1]) for r in got.select(text, lang).toLocalIterator()}, key=lambda r: (r[1], r[0]))
+    by_lang = lambda values: F.create_map(*[x for k, v in sorted(values.items()) for x in (F.lit(k), F.lit(v))])[F.col("l")]
+    share = by_lang({k: min(1.0, (3.0 * per_lang + 50) / n) for k, n in counts.items()})
+    least = F.expr(f"array_max(slice(array_sort(collect_set(h)), 1, {per_lang}))").alias("top")
+    top = {r["l"]: r["top"] for r in narrow.where(F.col("h") < share * (1 << 52)).groupBy("l").agg(least).collect()}
+    if not top:
+        return []
+    got = known.where(F.col(text).isNotNull()).select(F.col(lang).alias("l"), h.alias("h"), F.col(text).cast("string").alias("t"))
+    got = got.where((F.col("h") < share * (1 << 52)) & (F.col("h") <= by_lang(top))).select("l", "h", F.xxhash64("t").alias("th"), "t")
     out: dict[str, list[tuple[str, str]]] = {}
-    for r in rows:
-        out.setdefault(r[1], []).append(r)
-    return [r for k in sorted(out) for r in out[k][:per_lang]]
+    for r in sorted({tuple(r) for r in got.toLocalIterator()}):
+        out.setdefault(r[0], []).append((r[3], r[0]))
+    return [r for k in sorted(out) for r in list(dict.fromkeys(out[k]))[:per_lang]]
 
 
 def _columns(model: Model, min_known: float):
@@ -233,7 +238,9 @@ def identify(spark: SparkSession, docs: DataFrame, text: str = "text", lang: str
 
     Nulls: a null or empty text, or one without letters, is rejected (family and predicted are null,
     margin 0); a row with a null label or doc_id isn't trained on but is predicted. Rejected too: texts
-    of which less than min_known of the n-grams are known from training (an unknown language or script).
+    of which less than min_known of the n-grams are known from training (an unknown language or script). Known are
+    n-grams that SEEN training rows of one language have, however few rows a language has; so the texts of a language
+    with a single labelled row are only accepted on n-grams that other languages' rows know.
     No labelled rows: all are rejected; one label: every known text gets it. Very long texts are read
     whole, piece by piece. Repeated rows get equal answers; a column that is named langid is replaced.
     """

@@ -1,10 +1,13 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from leafmill.llm import _kernels as K
 from leafmill.llm import language_id as L
+from leafmill.llm.queries import QUERIES
 
 PARTS = {
     "en": "the of and ing tion er th sh ou ea wh ed ly".split(),
@@ -66,8 +69,12 @@ def test_identify(spark):
 
 def test_one_label_none_and_no_rows(spark):
     schema = "doc_id long, text string, lang string"
-    one = spark.createDataFrame([(1, "the ship", "en"), (2, "the ship", None)], schema)
-    assert [r["langid"]["predicted"] for r in L.identify(spark, one).collect()] == ["en", "en"]
+    rows = [(1, "the ship", "en"), (2, "the ship", None)]
+    single = spark.createDataFrame(rows, schema)  # a text doesn't vouch for itself, and a copy of it doesn't either
+    assert [r["langid"]["predicted"] for r in L.identify(spark, single).collect()] == [None, None]
+    assert [r["langid"]["predicted"] for r in L.identify(spark, spark.createDataFrame([*rows, (3, "the ship", "en")], schema)).collect()] == [None] * 3
+    one = spark.createDataFrame([*rows, (3, "the ship!", "en")], schema)
+    assert [r["langid"]["predicted"] for r in L.identify(spark, one).collect()] == ["en"] * 3
     none = spark.createDataFrame([(1, "the ship", None)], schema)
     assert L.identify(spark, none).first()["langid"]["predicted"] is None
     assert L.identify(spark, none.limit(0)).count() == 0
@@ -77,3 +84,66 @@ def test_sample_is_bounded_and_whole(spark):
     rows = [(i, "word " * 300, "en") for i in range(500)] + [(i, "mot", "fr") for i in range(500, 520)]
     got = L.train_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=30)
     assert {x for _, x in got} == {"en", "fr"} and all(t in ("word " * 300, "mot") for t, _ in got)
+
+
+@pytest.mark.parametrize("n", [2, 9, 10, 11, 40])
+def test_known_ngrams_need_two_rows_at_every_size(n):
+    rows = [(f"the ship number {'abcdefghijklmnopqrstuvwxyz'[i % 26]}", "en") for i in range(n)] + [("zyq wvx kjq", "en")]
+    model = L.fit(rows)
+    _, lang, _, known = L.predict(model, *K.text_bytes(pa.array(["the ship", "zyq wvx kjq"])))
+    assert lang == ["en", None] and known[0] > 0.9 and known[1] < 0.2
+
+
+def naive(model, rows, t):
+    """Family, language and known share of one text by the definition: every 3-gram of bytes, one machine after another."""
+    fold = {**{c: c for c in range(0x80, 0x100)}, **{c: c for c in b"0123456789abcdefghijklmnopqrstuvwxyz"}, **{c: c + 32 for c in range(65, 91)}}
+    raw = (" " + t + " ").encode()
+    x = [fold.get(c, 32) for c in raw]
+    for i in range(len(x) - 1):
+        if x[i] == 0xC3 and 0x80 <= x[i + 1] <= 0x9E and x[i + 1] != 0x97:
+            x[i + 1] += 32
+    grams = []
+    for i in range(len(x) - 2):
+        if any(c >= 97 for c in x[i : i + 3]):
+            g = x[i] | x[i + 1] << 8 | x[i + 2] << 16
+            grams.append((g * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - L.BITS))
+    if not grams:
+        return None, None, 0.0
+    known = sum(model.weights[g, -1] for g in grams) / len(grams)
+    if known < L.MIN_KNOWN:
+        return None, None, known
+
+    def winner(level, names):
+        votes, total = Counter(dict.fromkeys(names, 0)), Counter()
+        for k, (at, yes, no) in enumerate(model.pairs):
+            if at == level:
+                m = sum(float(model.weights[g, k]) for g in grams) / len(grams)
+                votes[yes if m >= 0 else no] += 1
+                total[yes] += m
+                total[no] -= m
+        return max(names, key=lambda n: (votes[n], total[n]))
+
+    family = winner("", list(model.families))
+    return family, winner(family, model.families[family]), known
+
+
+def test_registered_query_equals_brute_force(spark, sf):
+    """A naive scorer of n-grams over all supplied documents, with the machines fitted on the same sample."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = L.train_sample(docs)
+    model = L.fit(rows)
+    got = {r["doc_id"]: r for r in QUERIES["op8_language_id"](spark, sf).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    assert got.keys() == texts.keys() and len(rows) == len(set(rows))
+    right = 0
+    for i, t in texts.items():
+        family, lang, known = naive(model, rows, t or "")
+        assert (got[i]["family"], got[i]["predicted"]) == (family, lang) and abs(got[i]["known"] - known) < 1e-6
+        right += lang == got[i]["lang"]
+    assert right >= 0.97 * len(texts)
+
+
+def test_training_rows_are_those_least_by_hash(spark):
+    df = spark.createDataFrame([(i, f"word{i}", "en") for i in range(300)] + [(7, "another text", "en"), (8, None, "en")], "doc_id long, text string, lang string")
+    order = [r[0] for r in df.where("text is not null").selectExpr("text", "pmod(xxhash64(doc_id), 4503599627370496) h", "xxhash64(text) t").orderBy("h", "t").collect()]
+    assert [t for t, _ in L.train_sample(df, per_lang=40)] == order[:40]
