@@ -27,6 +27,7 @@ TOKEN = re.compile(
 )
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 BLANKS = re.compile(r"[ \t\n\r\f]+")
+INTEGER = re.compile(r"[ \t\n\r\f]*([+-]?[0-9]{1,18})")
 HIDING = re.compile(r"display\s*:\s*none", re.I)
 COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|initial|hidden|collapse|inherit|unset|revert|revert-layer)\s*(!\s*important\s*)?(?=;|\Z)", re.I)
@@ -74,8 +75,6 @@ IMPLIED = {
     "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select"])),
 }
 SCOPE = frozenset("td th caption table".split()) | ENTRIES
-#: Tables nested deeper than this are rendered as blocks.
-TABLE_DEPTH = 12
 
 
 class Node:
@@ -374,7 +373,28 @@ def _span(attrs: dict[str, str], name: str, most: int) -> int:
         return 1
 
 
-def _table(table: Node, depth: int) -> list[str]:
+def _integer(attrs: dict[str, str], name: str) -> int | None:
+    """The whole number that an attribute begins with."""
+    m = INTEGER.match(attrs.get(name, ""))
+    return int(m[1]) if m else None
+
+
+def _first_number(ol: Node) -> int:
+    """The number of a list's first item: its start, or in a reversed list the number of its items."""
+    start = _integer(ol.attrs, "start")
+    if start is not None or "reversed" not in ol.attrs:
+        return 1 if start is None else start
+    n, todo = 0, [ol]
+    while todo:
+        for x in todo.pop().kids:
+            if not isinstance(x, str) and not x.hidden:
+                n += x.tag == "li"
+                if x.tag not in LISTS:
+                    todo.append(x)
+    return n
+
+
+def _table(table: Node, done: dict[int, list[str]]) -> list[str]:
     """Lines of a table: cells in columns as wide as their widest line, two blanks apart."""
     rows: list[list[Node]] = []
     captions: list[Node] = []
@@ -402,9 +422,9 @@ def _table(table: Node, depth: int) -> list[str]:
     if loose:  # what isn't in a cell goes before the table, as in a browser
         x = Node("div", {}, False)
         x.kids = loose
-        out += _lines(x, depth)
+        out += _lines(x, done)
     for c in captions:
-        out += _lines(c, depth)
+        out += _lines(c, done)
     taken: dict[int, int] = {}  # column -> rows that a cell from above still covers
     grid: list[list[tuple[int, int, list[str]]]] = []
     width: dict[int, int] = {}
@@ -414,7 +434,7 @@ def _table(table: Node, depth: int) -> list[str]:
             while taken.get(col, 0):
                 col += 1
             span, down = _span(c.attrs, "colspan", 1000), _span(c.attrs, "rowspan", 65534)
-            line.append((col, span, _lines(c, depth + 1)))
+            line.append((col, span, _lines(c, done)))
             if span == 1:
                 width[col] = max(width.get(col, 0), max(map(len, line[-1][2]), default=0))
             for k in range(col, col + span):
@@ -447,16 +467,37 @@ def _table(table: Node, depth: int) -> list[str]:
     return out
 
 
+def _count(li: Node, last: tuple[int, int]) -> tuple[int, int]:
+    """The number of an item: its value, or the next one."""
+    value = _integer(li.attrs, "value")
+    return (last[0] + last[1] if value is None else value), last[1]
+
+
 def _ordered(todo: list) -> bool:
     """Whether the innermost list is numbered."""
     return next((t[0].tag for t in reversed(todo) if t[0].tag in LISTS), "") == "ol"
 
 
-def _lines(root: Node, depth: int = 0) -> list[str]:
+def _tables(root: Node) -> dict[int, list[str]]:
+    """Lines of every table below root by its identity, the inner ones first: no call goes deeper than one table."""
+    found, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        if x.tag == "table" and x is not root:
+            found.append(x)
+        todo.extend(k for k in x.kids if not isinstance(k, str) and not k.hidden)
+    done: dict[int, list[str]] = {}
+    for x in reversed(found):
+        done[id(x)] = _table(x, done)
+    return done
+
+
+def _lines(root: Node, done: dict[int, list[str]]) -> list[str]:
+    """Lines of what root holds; done: those of the tables within it, each of which is used once."""
     page = Page()
     todo: list[tuple[Node, Iterator, str, int]] = [(root, iter(root.kids), "", 0)]  # node, kids left, indent before, items so far
     pre = 1 if root.tag == "pre" else 0
-    counts = [0]
+    counts = [(0, 1)]  # of the open lists: the last item's number, and the step to the next
     while todo:
         node, kids, indent, margin = todo[-1]
         x = next(kids, None)
@@ -485,7 +526,7 @@ def _lines(root: Node, depth: int = 0) -> list[str]:
         tag = x.tag
         if not (x.shown or x.used):  # takes its place in a list, but breaks no line
             if tag == "li" and _ordered(todo):
-                counts[-1] += 1
+                counts[-1] = _count(x, counts[-1])
             continue
         if "/" in tag and tag not in FOREIGN_BLOCKS:
             if node.tag in APART and x is not node.kids[0]:
@@ -510,8 +551,8 @@ def _lines(root: Node, depth: int = 0) -> list[str]:
         page.end_line(gap)
         if tag == "hr":
             continue
-        if tag == "table" and depth < TABLE_DEPTH:
-            for line in _table(x, depth):
+        if tag == "table":
+            for line in done.pop(id(x)):
                 page.start_line()
                 page.line.append(line)
                 page.end_line()
@@ -519,15 +560,16 @@ def _lines(root: Node, depth: int = 0) -> list[str]:
             continue
         todo.append((x, iter(x.kids), page.indent, gap))
         if tag in LISTS:
-            counts.append(_span(x.attrs, "start", 10**9) - 1 if tag == "ol" else -1)
+            step = -1 if "reversed" in x.attrs else 1
+            counts.append((_first_number(x) - step, step) if tag == "ol" else (0, 1))
         elif tag == "li":
             if page.mark:  # an item that holds nothing but this one's list
                 page.start_line()
                 page.end_line()
             ordered = _ordered(todo)
             if ordered:
-                counts[-1] += 1
-            page.mark = "" if not x.shown else f"{counts[-1]}. " if ordered else "- "
+                counts[-1] = _count(x, counts[-1])
+            page.mark = "" if not x.shown else f"{counts[-1][0]}. " if ordered else "- "
             page.indent += " " * len(page.mark)
         elif tag in ("dd", "blockquote"):
             page.indent += "    "
@@ -542,7 +584,7 @@ def render(html: str) -> str:
     root = parse(html)
     if root.hidden:
         return ""
-    lines = _lines(root)
+    lines = _lines(root, _tables(root))
     return "\n".join(lines).replace("\xa0", " ").strip("\n")
 
 
