@@ -6,21 +6,22 @@ into one hashed bin with value (i, hash); in round SIZE + j all fall into bin j,
 2 * SIZE rounds each coordinate is filled, and agreement of two sketches concentrates about their
 Jaccard similarity as for independent minima. Most documents need two or three rounds, not SIZE.
 
-Sketches are cut into bands. Documents that share a band are candidates: each with the least of its
-bucket, then, where a bucket still holds several components, all pairs across components. Pairs whose
-sketches are far from the threshold are dropped (MARGIN standard deviations below it) and the rest is
-verified exactly on the shingle sets of whole texts. Groups are the connected components of verified
-pairs: skipping pairs within one component changes no group, so groups of thousands cost no squares.
+Sketches are cut into bands. Documents that share a band are candidates. Each is first paired with the least
+of its bucket; where a bucket then still holds several components, its documents are joined with one another by
+their rarest shingles (a prefix filter: two sets of similarity THRESHOLD share one of them for certain), so many
+unlike documents that meet in a bucket over common passages aren't paired. All candidates are verified exactly on
+the shingle sets of whole texts. Groups are the connected components of verified pairs: skipping pairs within
+one component changes no group, so groups of thousands cost no squares.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm import _kernels as K
@@ -30,7 +31,6 @@ U64 = K.U64
 SIZE, BANDS, ROWS = 256, 64, 4
 SHINGLE = 3
 THRESHOLD = 0.5
-MARGIN = 3.5
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, K.Words]:
@@ -76,48 +76,34 @@ def _sequence_hash(w: K.Words, base: U64) -> np.ndarray:
 
 
 def _sketch(col: pa.Array) -> pa.Array:
-    """n: words; f1, f2: hashes of the folded words in order; sketch: 8 bits a coordinate; bands: keys."""
+    """n: words; f1, f2: hashes of the folded words in order; bands: keys of the sketch's bands."""
     data, offs = K.text_bytes(col)
     n = len(offs) - 1
     words, f1, f2 = np.zeros(n, np.int64), np.zeros(n, U64), np.zeros(n, U64)
-    low, bands = np.zeros((n, SIZE), np.uint8), np.zeros((n, BANDS), U64)
+    bands = np.zeros((n, BANDS), U64)
     for i, j in K.doc_runs(offs, 2 * K.SEGMENT):
         h, at, w = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
         words[i:j] = np.diff(w.at)
         f1[i:j], f2[i:j] = _sequence_hash(w, K.BASE), _sequence_hash(w, U64(0xD6E8FEB86659FD93))
         s = sketches(h, at)
-        low[i:j] = K.mix(s) & U64(255)
         key = np.repeat(np.arange(1, BANDS + 1, dtype=U64)[None, :], j - i, axis=0)
         for r in range(ROWS):
             key = K.mix(key * K.BASE + s[:, r::ROWS])
         bands[i:j] = key
-    size = pa.array(np.arange(n + 1) * SIZE, pa.int32())
     return pa.StructArray.from_arrays(
         [
             pa.array(words),
             pa.array(f1.view(np.int64)),
             pa.array(f2.view(np.int64)),
-            pa.Array.from_buffers(pa.binary(), n, [None, size.buffers()[1], pa.py_buffer(low.tobytes())]),
             pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(bands.view(np.int64).ravel())),
         ],
-        ["n", "f1", "f2", "sketch", "bands"],
+        ["n", "f1", "f2", "bands"],
     )
 
 
 def sketch(*cols: Column | str) -> Column:
     """Sketch of each row, as an Arrow function."""
-    return F.arrow_udf(_sketch, "struct<n:long,f1:long,f2:long,sketch:binary,bands:array<long>>")(*cols)
-
-
-def _agreement(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Share of coordinates on which two 8-bit sketches agree, less what chance gives."""
-    x, y = (K.text_bytes(c)[0].reshape(-1, SIZE) for c in (a, b))
-    return pa.array(((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256))
-
-
-def agreement(*cols: Column | str) -> Column:
-    """Agreement of each row, as an Arrow function."""
-    return F.arrow_udf(_agreement, "double")(*cols)
+    return F.arrow_udf(_sketch, "struct<n:long,f1:long,f2:long,bands:array<long>>")(*cols)
 
 
 def _sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,15 +122,25 @@ def _sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def jaccard_rows(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """Jaccard similarity of the shingle sets of whole texts, row by row; 0 without shingles."""
+    """Jaccard similarity of the shingle sets of whole texts, row by row; 0 without shingles.
+
+    A text of a that repeats the one of the row before it, as a hub's does, is cut into shingles once.
+    """
     n = len(a)
-    (ha, ra), (hb, rb) = (_sets(*K.text_bytes(c)) for c in (a, b))
-    na, nb = np.bincount(ra, minlength=n), np.bincount(rb, minlength=n)
-    h, r = np.concatenate([ha, hb]), np.concatenate([ra, rb])
-    o = np.lexsort((h, r))
-    h, r = h[o], r[o]
-    both = np.bincount(r[1:][(h[1:] == h[:-1]) & (r[1:] == r[:-1])], minlength=n)
-    return both / np.maximum(na + nb - both, 1)
+    if not n:
+        return np.zeros(0)
+    new = np.ones(n, bool)
+    new[1:] = ~pc.fill_null(pc.equal(a[1:], a[:-1]), False).to_numpy(zero_copy_only=False)
+    which = np.cumsum(new) - 1
+    (ha, ra), (hb, rb) = _sets(*K.text_bytes(a.filter(pa.array(new)))), _sets(*K.text_bytes(b))
+    at_a, at_b = np.searchsorted(ra, np.arange(which[-1] + 2)), np.searchsorted(rb, np.arange(n + 1))
+    out = np.zeros(n)
+    for i in range(n):
+        x, y = ha[at_a[which[i]] : at_a[which[i] + 1]], hb[at_b[i] : at_b[i + 1]]
+        if len(x) and len(y):
+            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            out[i] = both / (len(x) + len(y) - both)
+    return out
 
 
 def _jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -156,19 +152,36 @@ def jaccard(*cols: Column | str) -> Column:
     return F.arrow_udf(_jaccard, "double")(*cols)
 
 
-def _verified(pairs: DataFrame, sk: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (u, v), those whose texts have at least the threshold's similarity, with it."""
-    cut = max(0.0, threshold - MARGIN * math.sqrt(threshold * (1 - threshold) / SIZE))
-    a = sk.select(F.col("id").alias("u"), F.col("sketch").alias("su"))
-    b = sk.select(F.col("id").alias("v"), F.col("sketch").alias("sv"))
-    near = written(pairs.join(a, "u").join(b, "v").where(agreement("su", "sv") >= cut).select("u", "v"), "pairs")
-    ids = near.select(F.col("u").alias("id")).union(near.select(F.col("v").alias("id"))).distinct()
-    texts = docs.join(small(ids), "id", "left_semi")
-    full = near.join(texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
+def _shingle_lists(col: pa.Array) -> pa.Array:
+    h, r = _sets(*K.text_bytes(col))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(r, np.arange(len(col) + 1)), pa.int32()), pa.array(h.view(np.int64)))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Of pairs (u, v), those whose whole texts have at least the threshold's similarity, with it."""
+    ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
+    texts = docs.join(small(ids), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))  # repeated rows once
+    full = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
     full = full.join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u")
     return written(full.select("u", "v", jaccard("tu", "tv").alias("similarity")).where(F.col("similarity") >= threshold), "verified")
 
 
+def _rare_pairs(placed: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """(u, v), u < v: pairs of placed (id, root) of different roots that share a shingle among the rarer ones of both,
+    the ordering by frequency leaving out the ceil(threshold * m) - 1 most common of a document's m shingles. Pairs
+    of at least the threshold's similarity share more than that many with each other, so none is lost."""
+    cut = threshold - 1e-9
+    sets = docs.join(small(placed.select("id")), "id", "left_semi").select("id", F.arrow_udf(_shingle_lists, "array<long>")("text").alias("hs"))
+    each = written(sets.select("id", F.size("hs").alias("m"), F.explode("hs").alias("h")).distinct(), "shingles")
+    often = each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    common_first = Window.partitionBy("id").orderBy(F.desc("c"), F.desc("h"))
+    rare = each.join(often, "h").withColumn("r", F.row_number().over(common_first)).where(F.col("r") >= F.ceil(F.lit(cut) * F.col("m")))
+    rare = written(rare.select("id", "m", "h").join(placed, "id"), "rare")
+    a, b = (rare.select("h", F.col("id").alias(i), F.col("root").alias(r), F.col("m").alias(m)) for i, r, m in (("u", "ru", "mu"), ("v", "rv", "mv")))
+    alike = F.least("mu", "mv") >= F.lit(cut) * F.greatest("mu", "mv")
+    return a.join(b, "h").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & alike).select("u", "v").distinct()
+
+
 def groups(spark: SparkSession, docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(ids, members): ids has (doc_id, f1, f2, n, lead) for every row with a doc_id; members has
     (lead, group_id) for the leads that fell into a group with others.
@@ -179,22 +192,20 @@ def groups(spark: SparkSession, docs: DataFrame, text: str = "text", threshold:
     x = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), F.col(text).cast("string").alias("text"))
     s = x.withColumn("s", sketch("text")).select("id", "s.*").where("n > 0")
     s = written(s, "sketches")
-    lead = written(s.groupBy("f1", "f2", "n").agg(F.min("id").alias("lead"), F.min_by("sketch", "id").alias("sketch"), F.min_by("bands", "id").alias("bands")), "leads")
-    sk = lead.select(F.col("lead").alias("id"), "sketch")
+    lead = written(s.groupBy("f1", "f2", "n").agg(F.min("id").alias("lead"), F.min_by("bands", "id").alias("bands")), "leads")
     bands = lead.select(F.col("lead").alias("id"), F.explode("bands").alias("key"))
     hot = bands.groupBy("key").agg(F.min("id").alias("m"), F.max("id").alias("top")).where("m < top").select("key", "m")
     shared = written(bands.join(hot, "key"), "buckets")
     star = written(shared.where("id <> m").select(F.col("m").alias("u"), F.col("id").alias("v")).distinct(), "stars")
-    edges = _verified(star, sk, x, threshold)
+    edges = _verified(star, x, threshold)
     comp = components(edges.select("u", "v"))
-    # buckets that still hold several components: all pairs across them, but those that were tried
+    # documents of buckets that still hold several components: paired with one another, but for pairs that were tried
     placed = shared.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     multi = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    mixed = written(placed.join(multi, "key", "left_semi"), "mixed")
-    a, b = (mixed.select("key", F.col("id").alias(i), F.col("root").alias(r)) for i, r in (("u", "ru"), ("v", "rv")))
-    cross = a.join(b, "key").where("u < v and ru <> rv").select("u", "v").distinct()
-    rest = cross.join(star, ["u", "v"], "left_anti")
-    more = _verified(written(rest, "rest"), sk, x, threshold)
+    open_ = written(placed.join(multi, "key", "left_semi").select("id", "root").distinct(), "open")
+    tried = star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    rest = _rare_pairs(open_, x, threshold).join(tried, ["u", "v"], "left_anti")
+    more = _verified(written(rest, "rest"), x, threshold)
     members = components(edges.select("u", "v").union(more.select("u", "v")))
     ids = s.select("id", "f1", "f2", "n").join(lead.select("f1", "f2", "n", "lead"), ["f1", "f2", "n"])
     return ids.withColumnRenamed("id", "doc_id"), written(members.select(F.col("node").alias("lead"), F.col("root").alias("group_id")), "members")
@@ -215,7 +226,8 @@ def assign(spark: SparkSession, docs: DataFrame, text: str = "text", threshold:
     duplicates, size the group's rows, keep whether doc_id is that least one.
 
     A null doc_id gives (null, null, 1, true): it can't be named in a group. Null, empty and wordless
-    texts are alone: group_id is their doc_id. Rows that share a doc_id are each in their own text's group,
+    texts are alone: group_id is their doc_id. Pairs that share no band of their sketches aren't found (one in 60 of
+    those whose similarity is the threshold of 0.5, none in practice from 0.7 on); every pair that shares one is verified. Rows that share a doc_id are each in their own text's group,
     and have its keep. Very long texts are sketched and compared whole. No rows: no rows. Columns other than
     doc_id and text aren't read.
     """
@@ -234,19 +246,23 @@ def dedup(spark: SparkSession, docs: DataFrame, text: str = "text", threshold: f
     """docs without those near duplicates whose group has a lesser doc_id; all columns stay.
 
     Of rows that share a doc_id, those go whose own text is such a near duplicate, and the others stay.
-    Of rows that share the doc_id that stays, one stays for each distinct folded text of it if there is
-    a copy. Texts that stay aren't shuffled while the dropped ids are at most BROADCAST_ROWS.
+    Of rows that share the doc_id that stays, one stays for each sequence of folded words; null and wordless texts
+    all stay. Any names of columns are fine. No rows: no rows. Texts that stay aren't shuffled while the dropped ids are at most BROADCAST_ROWS.
     """
     shared, name, doc_id = _names(docs, text)
     ids, members = groups(spark, docs.select(name.alias("doc_id"), text), text, threshold)
-    root = written(ids.join(members, "lead", "left").groupBy("doc_id").agg(F.min(F.coalesce("group_id", "lead")).alias("root"), F.count("*").alias("rows")), "roots")
-    gone = root.where(doc_id("doc_id") != doc_id("root")).select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(small(gone), name == F.col("_gone"), "left_anti")
+    root = ids.join(members, "lead", "left").groupBy("doc_id").agg(F.min(F.coalesce("group_id", "lead")).alias("root"), F.count("*").alias("rows"))
+    root = written(root, "roots")
+    gone = root.where(doc_id("doc_id") != doc_id("root")).select(F.col("doc_id").alias("gone"))
+    rows = docs.select(F.struct("*").alias("row"), name.alias("name"), F.col("doc_id").alias("id"))  # no column of docs clashes with ours
+    kept = rows.join(small(gone), F.col("name") == F.col("gone"), "left_anti")
     if not shared:
-        return kept
-    twice = root.where(doc_id("doc_id") == doc_id("root")).groupBy(doc_id("doc_id").alias("_twice")).agg(F.sum("rows").alias("rows")).where("rows > 1").select("_twice")
+        return kept.select("row.*")
+    twice = root.where(doc_id("doc_id") == doc_id("root")).groupBy(doc_id("doc_id").alias("twice")).agg(F.sum("rows").alias("n")).where("n > 1").select("twice")
     if twice.isEmpty():
-        return kept
+        return kept.select("row.*")
     keys = small(twice)
-    again = kept.join(keys, F.col("doc_id") == F.col("_twice"), "left_semi").withColumn("_same", F.lower(F.trim(F.col(text))))
-    return kept.join(keys, F.col("doc_id") == F.col("_twice"), "left_anti").union(again.dropDuplicates(["doc_id", "_same"]).drop("_same"))
+    again = kept.join(keys, F.col("id") == F.col("twice"), "left_semi").withColumn("s", sketch(F.col("row").getField(text).cast("string")))
+    alone = again.where("s.n = 0").select("row.*")
+    once = again.where("s.n > 0").groupBy("id", "s.n", "s.f1", "s.f2").agg(F.first("row").alias("row")).select("row.*")
+    return kept.join(keys, F.col("id") == F.col("twice"), "left_anti").select("row.*").union(alone).union(once)

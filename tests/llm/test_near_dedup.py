@@ -117,3 +117,37 @@ def test_odd_rows(spark):
 def test_empty_table(spark, schema):
     df = spark.createDataFrame([], schema)
     assert N.assign(spark, df).count() == 0 and N.dedup(spark, df).count() == 0
+
+
+def test_clashing_columns_and_folded_copies(spark):
+    """Columns by the names of the operator's own; rows of one id that differ in case and punctuation alone are copies."""
+    names = ["gone", "twice", "_gone", "_twice", "_same", "row", "name", "id", "s", "n", "f1", "w", "root", "lead", "group_id", "key", "h", "m", "u", "v"]
+    rng = random.Random(8)
+    t, other = prose(rng, 60), prose(rng, 60)
+    rows = [(1, t), (2, edited(rng, t, 0.01)), (3, "One."), (3, "one"), (3, " ONE!"), (3, other), (4, "..."), (4, "... "), (4, None), (5, t.upper())]
+    df = spark.createDataFrame([(i, x, *range(len(names))) for i, x in rows], "doc_id long, text string, " + ", ".join(f"`{c}` int" for c in names))
+    kept = N.dedup(spark, df)
+    assert kept.columns == df.columns
+    got = kept.collect()
+    assert all(tuple(r)[2:] == tuple(range(len(names))) for r in got)
+    assert sorted((r["doc_id"], N_words(r["text"])) for r in got) == sorted([(1, N_words(t)), (3, ["one"]), (3, folded(other)), (4, []), (4, []), (4, [])])
+    assert N.assign(spark, df).count() == len(rows)
+
+
+def N_words(t):
+    return folded(t or "")
+
+
+def test_rare_pairs_lose_no_similar_pair(spark, schema):
+    """Documents that share a passage of a third of their text meet, but only pairs that may be similar are joined."""
+    rng = random.Random(9)
+    passage = prose(rng, 50)
+    texts = [prose(rng, 100) + " " + passage for _ in range(60)]
+    texts += [edited(rng, texts[i], 0.03) for i in range(20)] + [edited(rng, texts[i], 0.06) for i in range(5)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, texts[3])], "id long, text string")
+    placed = spark.createDataFrame([(i, i) for i in range(len(texts))], "id long, root long")
+    for threshold in (0.5, 0.7):
+        got = {(r["u"], r["v"]) for r in N._rare_pairs(placed, docs, threshold).collect()}
+        want = {(i, j) for j in range(len(texts)) for i in range(j) if similarity(texts[i], texts[j]) >= threshold}
+        assert want <= got and len(want) > 5
+        assert len(got) < 200  # of 3,570 pairs
