@@ -87,7 +87,7 @@ ORACLE_SQL: dict[str, str] = {
             FROM documents GROUP BY 1),
         whole AS (SELECT sum(total) AS budget, CAST(count(*) FILTER (WHERE total > 0) AS DOUBLE) AS w FROM per_source),
         plan AS (
-            SELECT src, CASE WHEN total > 0 THEN CAST(floor(least(4.0::DOUBLE, budget * 1.0::DOUBLE / w / total) * 1000000) AS BIGINT) ELSE 0 END AS e,
+            SELECT src, CASE WHEN total > 0 THEN CAST(floor(budget * 1.0::DOUBLE / w / total * 1000000) AS BIGINT) ELSE 0 END AS e,
                    CAST('0x' || substr(md5('1:' || src), 1, 8) AS BIGINT) % 1000000 AS u
             FROM per_source, whole),
         placed AS (

@@ -69,3 +69,12 @@ def test_clashing_columns_stay(spark):
 def test_rows_of_a_pipeline_keep_their_columns(spark, schema):
     df = spark.createDataFrame(rows_of(["a", "b"]), schema)
     assert M.sample(spark, df, copy_column=None).schema == df.schema
+
+
+def test_own_names_of_the_operator_clash_with_none(spark):
+    names = ["__copy", "copy", "copies", "first", "__0", "__1", "row", "key", "id", "h", "cum", "_b", "_v", "_in", "src", "_g0", "_c", "_before", "n_all"]
+    df = spark.createDataFrame([(i, "t", "s", *range(len(names))) for i in range(4)], "doc_id long, text string, source string, " + ", ".join(f"`{c}` int" for c in names))
+    out = M.sample(spark, df)
+    assert out.columns == [*df.columns, "copy_no"]
+    assert sorted(tuple(r) for r in out.collect()) == sorted((*r, 1) for r in df.collect())
+    assert sorted(tuple(r) for r in M.sample(spark, df, copy_column="__copy").select(*[f"`{c}`" for c in df.columns if c != "__copy"]).collect()) == sorted(tuple(r) for r in df.drop("__copy").collect())
