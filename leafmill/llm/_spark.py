@@ -17,16 +17,23 @@ _own_dir: list[str] = []
 
 
 def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches that Python workers hold; long texts come in large rows."""
+    """Bound the Arrow batches that Python workers hold; long texts come in large rows.
+
+    The setting is the session's, so a lazy result is read with the batches of the operator that was called last.
+    Results don't depend on it, and memory is bounded by bytes: the rows only bound batches of narrow rows.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (local tests) a folder of our own."""
+    """The folder in spark.checkpoint.dir; where that is unset a folder of our own, in local mode alone: on a cluster
+    each executor would write to its own disk."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="leafmill-"))
     return _own_dir[0]
