@@ -63,3 +63,27 @@ def test_run(spark, tmp_path):
 
 def test_prose_helper_is_deterministic():
     assert prose(random.Random(1), 5) == prose(random.Random(1), 5)
+
+
+NAMES = ["gone", "twice", "row", "name", "id", "s", "n", "root", "lead", "langid", "src", "key", "h", "copy", "copies", "copy_no", "first", "fp", "len", "e", "u", "part", "piece", "length", "bin_id", "_gone", "_twice", "_same", "__copy", "__0"]
+
+
+def test_clashing_columns_pass_every_stage(spark):
+    rows = [(*r, *range(len(NAMES))) for r in documents(random.Random(10))]
+    docs = spark.createDataFrame(rows + rows[:3] + [(None, *rows[4][1:])], SCHEMA + "".join(f", `{c}` int" for c in NAMES))
+    for name, stage in C.STAGES:
+        out = stage(spark, docs, "")
+        if name != "packing":
+            assert out.schema == docs.schema, name
+            got = out.collect()
+            assert got and all(tuple(r)[5:] == tuple(range(len(NAMES))) for r in got), name
+            docs = spark.createDataFrame(got, docs.schema)
+    assert out.count() > 20
+
+
+def test_empty_table_passes_every_stage(spark, tmp_path):
+    docs = spark.createDataFrame([], SCHEMA)
+    for name, stage in C.STAGES:
+        assert stage(spark, docs, "").count() == 0, name
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert C.run(spark, str(tmp_path)).count() == 0
