@@ -17,9 +17,11 @@ _own: list[str] = []
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder of spark.checkpoint.dir; where that is unset, in one of our own."""
+    """df as a table in the shared folder of spark.checkpoint.dir; where that is unset, in local mode, in one of our own."""
     spark: SparkSession = df.sparkSession
     there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not there:
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="leafmill-"))
@@ -69,14 +71,16 @@ def sizes(reached: DataFrame, objects: DataFrame, doc: str, root: str, overhead:
 
 
 def up(parents: DataFrame, counts: DataFrame) -> DataFrame:
-    """(node, count): each node's own count and those of all below it; parents (node, parent)."""
-    total = kept(counts.select("node", "count"))
-    level = total
+    """(node, count): each node's own count and those of all below it, each once; parents (node, parent). On a cycle
+    every node is below every other, and the walk ends when it finds no new pair."""
+    p = parents.select(F.col("node").alias("at"), "parent").distinct()
+    seen = front = kept(counts.groupBy("node").agg(F.sum("count").alias("count")).select(F.col("node").alias("origin"), "node", "count"))
     while True:
-        level = kept(level.join(parents, "node").groupBy(F.col("parent").alias("node")).agg(F.sum("count").alias("count")))
-        if level.isEmpty():
-            return total.groupBy("node").agg(F.sum("count").alias("count"))
-        total = total.union(level)
+        above = front.join(p, F.col("node") == F.col("at")).select("origin", F.col("parent").alias("node"), "count").distinct()
+        front = kept(above.join(seen.select("origin", "node"), ["origin", "node"], "left_anti"))
+        if front.isEmpty():
+            return seen.groupBy("node").agg(F.sum("count").alias("count"))
+        seen = seen.union(front)
 
 
 def drop_references(edges: DataFrame, valid: DataFrame, doc: str = "doc") -> DataFrame:
