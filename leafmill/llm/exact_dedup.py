@@ -5,7 +5,7 @@ compose by length-shifted arithmetic, H(ab) = H(a) + B**len(a) * H(b) modulo a p
 hashed in any order, in parallel and in pieces. Texts with equal length and equal fingerprints under two
 bases are then compared chunk by chunk with their group's first text, so the result is exact.
 
-Only texts that share a fingerprint are shuffled. Hot groups are safe: groups are counted and their
+Fingerprints of all texts are computed once, into a narrow table. Only texts that share one are shuffled. Hot groups are safe: groups are counted and their
 first row chosen with partial aggregation, and the compared rows join one row a group, which adaptive
 execution splits when it is skewed.
 """
@@ -85,24 +85,29 @@ def same_text(a: Column, b: Column) -> Column:
 KEY = ["len", "fp"]
 
 
-def _marked(docs: DataFrame, text: str) -> DataFrame:
-    """row: the whole row, so that no column of its clashes with ours; id, text, len, fp."""
-    arrow_batches(docs.sparkSession)
-    t = F.col(text).cast("string")
-    x = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), t.alias("text"))
-    return x.withColumn("len", F.octet_length("text")).withColumn("fp", fingerprint(F.col("text")))
+def _key(t: Column) -> list[Column]:
+    return [F.octet_length(t).alias("len"), fingerprint(t).alias("fp")]
+
 
+def _groups(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(marks, groups, ids, shared, mixed).
 
-def _groups(x: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(keys of several rows, with n and the least id; the rows that have them; (len, fp, text) of the
-    groups that hold different texts, which take an exact grouping)."""
-    found = x.where("text is not null").groupBy(*KEY).agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
-    groups = written(found, "groups")
+    marks: (id, len, fp) of every row, a narrow table for which all texts are hashed once. groups: keys of several
+    rows, with n and the least id. ids: the doc_ids of their rows. shared: those rows, as (row, id, text, len, fp), of
+    which the texts are hashed again. mixed: keys of groups that hold different texts, which take an exact grouping.
+    """
+    arrow_batches(docs.sparkSession)
+    t = F.col(text).cast("string")
+    marks = written(docs.select(F.col("doc_id").alias("id"), *_key(t)), "marks")
+    groups = written(marks.where("len is not null").groupBy(*KEY).agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1"), "groups")
     keys = small(groups.select(*KEY))
-    shared = x.join(keys, KEY, "left_semi")
+    ids = written(marks.join(keys, KEY, "left_semi").select(F.col("id").alias("some_id")).distinct(), "ids")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), t.alias("text"))
+    rows = rows.join(small(ids), F.col("id").eqNullSafe(F.col("some_id")), "left_semi")
+    shared = rows.select("row", "id", "text", *_key(F.col("text"))).join(keys, KEY, "left_semi")
     first = shared.groupBy(*KEY).agg(F.min_by("text", F.struct(F.col("id").isNull(), "id")).alias("first_text"))
     unequal = shared.select(*KEY, "text").join(first, KEY).where(~same_text(F.col("text"), F.col("first_text"))).select(*KEY).distinct()
-    return groups, shared, written(unequal, "collisions")
+    return marks, groups, ids, shared, written(unequal, "collisions")
 
 
 def assign(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame:
@@ -113,13 +118,12 @@ def assign(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFram
     A null doc_id is only a keep_id where all ids of the group are null. Rows that repeat count each. No
     rows: no rows. Other columns aren't read.
     """
-    x = _marked(docs.select("doc_id", text), text)
-    groups, _, mixed = _groups(x)
-    plain = x.join(small(mixed), KEY, "left_anti").select("id", *KEY)
+    marks, groups, _, shared, mixed = _groups(docs.select("doc_id", text), text)
+    plain = marks.join(small(mixed), KEY, "left_anti")
     out = plain.join(small(groups), KEY, "left").select(F.col("id").alias("doc_id"), F.coalesce("first_id", "id").alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("copies"))
     if mixed.isEmpty():
         return out
-    odd = x.join(small(mixed), KEY, "left_semi").select("id", "text")
+    odd = shared.join(small(mixed), KEY, "left_semi").select("id", "text")
     each = odd.groupBy("text").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
     return out.union(odd.join(each, "text").select("id", F.coalesce("first_id", "id"), "n"))
 
@@ -128,13 +132,16 @@ def dedup(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame
     """docs without further copies: of the rows with one text that of the least doc_id stays (null ids
     last; among equal ids any one). Null texts all stay. All columns are kept, whatever their names.
 
-    A text that occurs once is never shuffled unless there are over BROADCAST_ROWS groups of copies.
+    A text whose doc_id has no copy of any text is never shuffled unless over BROADCAST_ROWS doc_ids have copies.
     """
-    x = _marked(docs, text)
-    groups, shared, mixed = _groups(x)
-    once = x.join(small(groups.select(*KEY)), KEY, "left_anti").select("row.*")
+    _, groups, ids, shared, mixed = _groups(docs, text)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col(text).cast("string").alias("text"))
+    named = F.col("id").eqNullSafe(F.col("some_id"))
+    once = rows.join(small(ids), named, "left_anti").select("row.*")
+    # rows that share a doc_id, or have none, with one of the copies, but not its text
+    other = rows.join(small(ids), named, "left_semi").select("row", *_key(F.col("text"))).join(small(groups.select(*KEY)), KEY, "left_anti").select("row.*")
     best = F.min_by("row", F.struct(F.col("id").isNull(), "id")).alias("row")
-    out = once.union(shared.join(small(mixed), KEY, "left_anti").groupBy(*KEY).agg(best).select("row.*"))
+    out = once.union(other).union(shared.join(small(mixed), KEY, "left_anti").groupBy(*KEY).agg(best).select("row.*"))
     if mixed.isEmpty():
         return out
     return out.union(shared.join(small(mixed), KEY, "left_semi").groupBy("text").agg(best).select("row.*"))
