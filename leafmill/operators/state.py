@@ -6,10 +6,12 @@ window forms give single parameters of command tables that are split over rows.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator, Sequence
 from functools import cmp_to_key
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,61 +48,109 @@ def codes(literal: str, wide: bool) -> list[int]:
     return [raw[i] << 8 | raw[i + 1] for i in range(0, len(raw) - 1, 2)] if wide else raw
 
 
+class Font:
+    """A font as the fold needs it: widths and texts of one-byte codes in tables, all others by their maps."""
+
+    def __init__(self, widths: dict[int, float], unicode: dict[int, str] | None, missing: float, space: float, y0: float, y1: float, cid: bool):
+        self.widths, self.unicode, self.missing, self.space, self.y0, self.y1, self.cid = widths, unicode, missing, space, y0, y1, cid
+        self.row = [self.width(c) for c in range(256)]
+        self.array = np.array(self.row)
+        self.table = None if unicode is None else {c: self.text(c) for c in range(256)}
+        self.blanks = [c for c in range(256) if self.text(c) == " "]
+
+    def width(self, c: int) -> float:
+        return self.widths.get(c, self.missing)
+
+    def text(self, c: int) -> str:
+        return chr(c) if self.unicode is None else self.unicode.get(c) or chr(PRIVATE + (c & 0xFFFF))
+
+
 class State:
     """Text and graphics state; update() gives (text, matrix) for commands that show text, else None."""
 
     NAMES = ("ctm", "tm", "line", "tc", "tw", "th", "tl", "rise", "mode", "size", "font")
+    SETS = {"Tc": "tc", "Tw": "tw", "TL": "tl", "Ts": "rise", "Tz": "th"}
 
-    def __init__(self, fonts: dict[str, dict]):
+    def __init__(self, fonts: dict[str, Font]):
         self.fonts, self.saved = fonts, []
         self.ctm = self.tm = self.line = UNIT
         self.tc = self.tw = self.tl = self.rise = self.size = 0.0
         self.th, self.mode, self.font = 100.0, 0, None
 
     def update(self, op: str, args: list[str]) -> tuple[str, Matrix] | None:
-        if op == "q":
-            self.saved.append([getattr(self, n) for n in self.NAMES])
-        elif op == "Q":
-            for n, v in zip(self.NAMES, self.saved.pop() if self.saved else ()):
-                setattr(self, n, v)
-        elif op == "cm":
-            self.ctm = times(self.ctm, [float(x) for x in args[-6:]])
-        elif op in ("Tc", "Tw", "TL", "Ts", "Tz"):
-            setattr(self, {"Tc": "tc", "Tw": "tw", "TL": "tl", "Ts": "rise", "Tz": "th"}[op], float(args[-1]))
-        elif op == "Tr":
-            self.mode = int(float(args[-1]))
-        elif op == "Tf":
-            self.font, self.size = self.fonts.get(args[-2].lstrip("/").replace("#20", " ")), float(args[-1])
+        if op in ("Tj", "TJ", "'", '"'):
+            if op == '"':
+                self.tw, self.tc = float(args[-3]), float(args[-2])
+            if op in "'\"":
+                self.move(0.0, -self.tl)
+            return self.show(args[-1] if args else "")
+        if op in ("Td", "TD"):
+            if op == "TD":
+                self.tl = -float(args[-1])
+            self.move(float(args[-2]), float(args[-1]))
         elif op == "BT":
             self.line = self.tm = UNIT
+        elif op == "Tf":
+            self.font, self.size = self.fonts.get(args[-2].lstrip("/").replace("#20", " ")), float(args[-1])
         elif op == "Tm":
             self.line = self.tm = tuple(float(x) for x in args[-6:])
-        elif op in ("Td", "TD"):
-            if op == "TD":
-                self.tl = -float(args[-1])
-            self.move(float(args[-2]), float(args[-1]))
         elif op == "T*":
             self.move(0.0, -self.tl)
-        elif op in ("Tj", "TJ", "'", '"'):
-            if op == '"':
-                self.tw, self.tc = float(args[-3]), float(args[-2])
-            if op in "'\"":
-                self.move(0.0, -self.tl)
-            return self.show(args[-1] if args else "")
+        elif op in self.SETS:
+            setattr(self, self.SETS[op], float(args[-1]))
+        elif op == "Tr":
+            self.mode = int(float(args[-1]))
+        elif op == "q":
+            self.saved.append([getattr(self, n) for n in self.NAMES])
+        elif op == "Q":
+            for n, v in zip(self.NAMES, self.saved.pop() if self.saved else ()):
+                setattr(self, n, v)
+        elif op == "cm":
+            self.ctm = times(self.ctm, [float(x) for x in args[-6:]])
         return None
 
     def move(self, x: float, y: float) -> None:
-        self.line = self.tm = times(self.line, (1.0, 0.0, 0.0, 1.0, x, y))
+        a, b, c, d, e, f = self.line
+        self.line = self.tm = (a, b, c, d, a * x + c * y + e, b * x + d * y + f)
 
     def show(self, operand: str) -> tuple[str, Matrix] | None:
         f = self.font
         if f is None:
             return None
+        text, before, inner, whole = self.plain(operand) or self.spaced(operand)
+        m = self.tm if self.ctm == UNIT else times(self.ctm, self.tm)
+        m = times(m, (inner or 0.001, 0.0, 0.0, (f.y1 - f.y0) * self.size, before, f.y0 * self.size + self.rise))
+        a, b, c, d, x, y = self.tm
+        self.tm = (a, b, c, d, a * whole + x, b * whole + y)
+        return text, tuple(round(v * 1000) / 1000 + 0.0 for v in m)
+
+    def plain(self, operand: str) -> tuple[str, float, float, float] | None:
+        """(text, width before it, its width, width of all) of one string of one-byte codes, all at once; None where the
+        spacing makes or hides a space, which takes a look at every gap."""
+        f, least = self.font, self.font.space * self.size * SPACE_SHARE
+        if f.cid or operand[:1] != "(" or self.tc > least:
+            return None
+        s = unescape(operand)
+        if not s or any(self.tc + (self.tw if c == 32 else 0.0) + f.row[c] * self.size <= least for c in f.blanks):
+            return None
+        try:
+            raw = s.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        glyphs = sum(map(f.row.__getitem__, raw)) if len(raw) < 40 else float(f.array[np.frombuffer(raw, np.uint8)].sum())
+        whole = glyphs * self.size + len(raw) * self.tc + (raw.count(32) * self.tw if self.tw else 0.0)
+        last = self.tc + (self.tw if raw[-1] == 32 else 0.0)
+        shown = s[:-1] if raw[-1] in f.blanks else s
+        return (shown if f.table is None else shown.translate(f.table)), 0.0, (whole - last) * self.th / 100, whole * self.th / 100
+
+    def spaced(self, operand: str) -> tuple[str, float, float, float]:
+        """The same of any operand, gap by gap."""
+        f = self.font
         items: list[int | float] = []  # codes are int, displacements float
         for kind, token in lex(operand):
             if kind in ("string", "hex"):
-                for c in codes(token, bool(f["cid"])):
-                    items += [c, self.tc + (self.tw if c == 32 and not f["cid"] else 0.0)]
+                for c in codes(token, bool(f.cid)):
+                    items += [c, self.tc + (self.tw if c == 32 and not f.cid else 0.0)]
             elif kind in ("int", "float"):
                 if not items:
                     items.append(0.0)
@@ -110,50 +160,55 @@ class State:
             b -= 1
         while a < b and isinstance(items[a], float):
             a += 1
-        width = lambda xs: sum(f["widths"].get(x, f["missing"]) * self.size if isinstance(x, int) else x for x in xs) * self.th / 100
+        widths = [f.width(x) * self.size if isinstance(x, int) else x for x in items]
         text, own = [], 0.0
-        for x in items[a:b]:
+        for x, w in zip(items[a:b], widths[a:b]):
             if isinstance(x, float):
-                text.append(" " if x + own > f["space"] * self.size * SPACE_SHARE else "")
+                text.append(" " if x + own > f.space * self.size * SPACE_SHARE else "")
                 own = 0.0
                 continue
-            u = chr(x) if f["unicode"] is None else f["unicode"].get(x) or chr(PRIVATE + (x & 0xFFFF))
+            u = f.text(x)
             if u == " ":
-                own = f["widths"].get(x, f["missing"]) * self.size
+                own = w
             else:
                 text.append(u)
-        box = (width(items[a:b]) or 0.001, 0.0, 0.0, (f["y1"] - f["y0"]) * self.size, width(items[:a]), f["y0"] * self.size + self.rise)
-        m = times(times(self.ctm, self.tm), box)
-        self.tm = times(self.tm, (1.0, 0.0, 0.0, 1.0, width(items), 0.0))
-        return "".join(text), tuple(round(v * 1000) / 1000 + 0.0 for v in m)
+        before, inner, after = (sum(w) * self.th / 100 for w in (widths[:a], widths[a:b], widths[b:]))
+        return "".join(text), before, inner, before + inner + after
 
 
-def _fonts(row: list | None) -> dict[str, dict]:
+def _fonts(row: str | None) -> dict[str, Font]:
+    """Fonts from their JSON; absent fields are null."""
     out = {}
-    for name, f in row or []:
-        out[name] = f | {"widths": dict(f["widths"] or []), "unicode": None if f["unicode"] is None else dict(f["unicode"])}
+    for name, f in json.loads(row or "{}").items():
+        widths = {int(k): v for k, v in (f.get("widths") or {}).items()}
+        unicode = None if f.get("unicode") is None else {int(k): v for k, v in f["unicode"].items()}
+        out[name] = Font(widths, unicode, *(f.get(k) or 0.0 for k in ("missing", "space", "y0", "y1")), bool(f.get("cid")))
     return out
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows, seqs, texts, ms, names = [], [], [], [], []
-        for i, (stream, fonts) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-            state = State(_fonts(fonts))
+        kinds = b.column(2).dictionary_encode()
+        fonts = [_fonts(x) for x in kinds.dictionary.to_pylist()]
+        for i, (stream, kind) in enumerate(zip(b.column(1).to_pylist(), kinds.indices.to_pylist())):
+            state = State({} if kind is None else fonts[kind])
             for k, c in enumerate(parse(stream or "")):
+                op, args = c["op"], c["args"]
                 try:
-                    shown = state.update(c["op"], c["args"])
+                    shown = state.update(op, args)
                 except (ValueError, IndexError, TypeError):  # operands that don't fit their operator
                     continue
-                if c["op"] == "Do" and c["args"]:
+                if op == "Do" and args:
                     shown = None, state.ctm
                 if shown is not None:
-                    names.append(c["args"][-1].lstrip("/") if c["op"] == "Do" else None)
+                    names.append(args[-1].lstrip("/") if op == "Do" else None)
                     rows.append(i)
                     seqs.append(k)
                     texts.append(shown[0])
-                    ms.append(list(shown[1]))
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(seqs, pa.int32()), pa.array(texts, pa.string()), pa.array(ms, pa.list_(pa.float64())), pa.array(names, pa.string())], ["key", "seq", "text", "m", "name"])
+                    ms.extend(shown[1])
+        places = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * 6, pa.int32()), pa.array(ms, pa.float64()))
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(seqs, pa.int32()), pa.array(texts, pa.string()), places, pa.array(names, pa.string())], ["key", "seq", "text", "m", "name"])
 
 
 def chunks(streams: DataFrame, key: str = "doc_id", stream: str = "stream", fonts: str = "fonts") -> DataFrame:
@@ -166,7 +221,7 @@ def chunks(streams: DataFrame, key: str = "doc_id", stream: str = "stream", font
 def placed(streams: DataFrame, key: str = "doc_id", stream: str = "stream", fonts: str = "fonts") -> DataFrame:
     """chunks(), and rows with a name and no text for the objects that a stream draws, m being the matrix there."""
     kind = streams.schema[key].dataType.simpleString()
-    x = streams.select(key, stream, fonts)
+    x = streams.select(key, stream, F.to_json(fonts))  # as text, so that a font that many rows share is read once a batch
     return x.mapInArrow(_chunks, f"key {kind}, seq int, text string, m array<double>, name string").withColumnRenamed("key", key)
 
 

@@ -38,11 +38,14 @@ _NAME = r"/[^\s()<>\[\]{}/%\x00]+"
 NATIVE_TOKEN = (
     r"(?:\([^()\\]*+(?:\\[\s\S][^()\\]*+)*+\)|<[0-9a-fA-F\s]*>|<<|>>|\[|\]|" + _NAME + r"|[+-]?(?:\d+\.\d*|\.\d+)|[+-]?\d+|true|false|null|BT|ET|BI|" + _OPS + ")"
 )
+#: Blanks and one token. A literal string that nests no other is one match, others are followed from where they open.
 _TOKEN = re.compile(
-    r"(?P<space>[\s\x00]+)|(?P<comment>%[^\r\n]*)|(?P<open>\()|(?P<dict><<|>>)|(?P<hex><[0-9a-fA-F\s]*>)|(?P<bracket>[\[\]])"
+    r"[\s\x00]*(?:(?P<comment>%[^\r\n]*)|(?P<string>\([^()\\]*+(?:\\[\s\S][^()\\]*+)*+\))|(?P<open>\()|(?P<dict><<|>>)|(?P<hex><[0-9a-fA-F\s]*>)|(?P<bracket>[\[\]])"
     rf"|(?P<name>{_NAME})|(?P<float>[+-]?(?:\d+\.\d*|\.\d+))|(?P<int>[+-]?\d+)|(?P<bool>(?:true|false)\b)|(?P<null>null\b)"
-    rf"|(?P<data>\bID[\s](?:[\s\S]*?)EI(?=[\s]|\Z))|(?P<block>BT|ET)|(?P<image>BI)|(?P<op>{_OPS})"
+    rf"|(?P<data>\bID[\s](?:[\s\S]*?)EI(?=[\s]|\Z))|(?P<block>BT|ET)|(?P<image>BI)|(?P<op>{_OPS}))"
 )
+_BLANKS = re.compile(r"[\s\x00]*")
+_ESCAPE = re.compile(r"\\([0-7]{1,3}|[\s\S]?)")
 _STRING_PART = re.compile(r"[^()\\]+|\\[\s\S]|[()]")
 ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
 
@@ -50,17 +53,21 @@ ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
 def lex(stream: str) -> Iterator[tuple[str, str]]:
     """(type, text) of each token; an illegal character is a token of type error."""
     at, n = 0, len(stream)
+    match = _TOKEN.match
     while at < n:
-        m = _TOKEN.match(stream, at)
+        m = match(stream, at)
         if m is None:
-            yield "error", stream[at]
+            at = _BLANKS.match(stream, at).end()
+            if at < n:
+                yield "error", stream[at]
             at += 1
             continue
         kind, at = m.lastgroup, m.end()
-        if kind in ("space", "comment"):
+        text = m[kind]
+        if kind == "comment":
             continue
         if kind == "open":
-            start, depth = m.start(), 1
+            start, depth = at - 1, 1
             while depth and at < n:
                 part = _STRING_PART.match(stream, at)
                 if part is None:  # a lone backslash at the end
@@ -71,12 +78,12 @@ def lex(stream: str) -> Iterator[tuple[str, str]]:
             yield ("string" if not depth else "error"), stream[start:at]
             continue
         if kind == "dict":
-            kind = "dict_open" if m.group() == "<<" else "dict_close"
+            kind = "dict_open" if text == "<<" else "dict_close"
         elif kind == "bracket":
-            kind = "array_open" if m.group() == "[" else "array_close"
+            kind = "array_open" if text == "[" else "array_close"
         elif kind == "block":
-            kind = m.group()
-        yield kind, m.group()
+            kind = text
+        yield kind, text
 
 
 def parse(stream: str) -> list[dict]:
@@ -141,24 +148,14 @@ def serialize(commands: list[dict]) -> str:
 
 def unescape(literal: str) -> str:
     """Characters of a literal string with its parentheses; octal codes give one character each."""
-    out, at, s = [], 1, literal
-    end = len(s) - 1
-    while at < end:
-        if s[at] != "\\":
-            out.append(s[at])
-            at += 1
-            continue
-        at += 1
-        m = re.compile(r"[0-7]{1,3}").match(s, at, end)
-        if m:
-            out.append(chr(int(m.group(), 8) & 255))
-            at = m.end()
-        else:
-            x = s[at : at + 1]
-            if x != "\n":
-                out.append(ESCAPES.get(x, x))
-            at += 1
-    return "".join(out)
+    if "\\" not in literal:
+        return literal[1:-1]
+    return _ESCAPE.sub(_unescaped, literal[1:-1])
+
+
+def _unescaped(m: re.Match) -> str:
+    x = m[1]
+    return chr(int(x, 8) & 255) if "0" <= x[:1] <= "7" else "" if x == "\n" else ESCAPES.get(x, x)
 
 
 # Streams as columns.

@@ -89,7 +89,7 @@ def test_ligatures_and_private_codes():
 
 def test_state_save_restore_and_forms():
     font = {"widths": {65: 0.6}, "unicode": {65: "A", 66: "fi"}, "missing": 0.5, "space": 0.5, "y0": 0.0, "y1": 1.0, "cid": False}
-    s = state.State({"F": font})
+    s = state.State({"F": state.Font(**font)})
     shown = []
     for c in content.parse("q 2 0 0 2 0 0 cm BT /F 10 Tf 5 7 Td (A) Tj Q (AB) Tj ET Q BT /F 10 Tf [(A) -1000 (B)] TJ 0 -10 TD T* (A) ' 1 2 (A) \" ET"):
         x = s.update(c["op"], c["args"])
