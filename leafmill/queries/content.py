@@ -59,7 +59,7 @@ def p2_operator_families(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p4_commands", f"WITH {COMMANDS} SELECT doc_id, seq, op, md5(args) AS args FROM cmd")
 def p4_commands(spark: SparkSession, d: str) -> DataFrame:
-    return _commands(spark, d).select("doc_id", F.col("seq").cast("long").alias("seq"), "op", F.md5(F.array_join("args", " ")).alias("args"))
+    return P.stream_commands(_streams(spark, d)).select("doc_id", F.col("seq").cast("long").alias("seq"), "op", F.md5(F.array_join("args", " ")).alias("args"))
 
 
 @query("p5_text_blocks", f"WITH {COMMANDS} SELECT doc_id, block, count(*) AS commands FROM cmd GROUP BY 1, 2")
@@ -76,7 +76,7 @@ def p8_parse_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p9_serialize", f"WITH {COMMANDS} SELECT doc_id, md5(string_agg(CASE WHEN args = '' THEN op ELSE args || ' ' || op END, chr(10) ORDER BY seq)) AS digest FROM cmd GROUP BY 1")
 def p9_serialize(spark: SparkSession, d: str) -> DataFrame:
-    return P.serialize(_commands(spark, d)).select("doc_id", F.md5("stream").alias("digest"))
+    return _streams(spark, d).select("doc_id", F.md5(P.serialized(F.col("stream"))).alias("digest"))
 
 
 @query("p3_exact_lexer", f"WITH {STREAM_SQL}, x AS (SELECT doc_id, len(regexp_extract_all(stream, '{TOKEN_SQL}')) AS tokens FROM s) SELECT doc_id, tokens FROM x WHERE tokens > 0")
@@ -85,6 +85,23 @@ def p3_exact_lexer(spark: SparkSession, d: str) -> DataFrame:
     return P.lex_tokens(_streams(spark, d)).groupBy("doc_id").agg(F.count("*").alias("tokens"))
 
 
+@query("p3_nested_strings", "SELECT p_partkey, '(' || p_name || ' (' || p_type || '(' || p_brand || ')) \\(' || ')' AS token, 2::BIGINT AS tokens FROM part")
+def p3_nested_strings(spark: SparkSession, d: str) -> DataFrame:
+    """Strings that nest twice and escape a parenthesis, before a comment that would close them."""
+    s = F.concat(F.lit("% (\n("), "p_name", F.lit(" ("), "p_type", F.lit("("), "p_brand", F.lit(")) \\() Tj % )"))
+    toks = P.lex_tokens(table(spark, d, "part").select("p_partkey", s.alias("stream")), "p_partkey")
+    return toks.groupBy("p_partkey").agg(F.max(F.when(F.col("type") == "string", F.col("token"))).alias("token"), F.count("*").alias("tokens"))
+
+
+@query("p6_inline_images", "SELECT p_partkey, 'BI Q' AS ops, CAST(p_size AS VARCHAR) AS width, 'ID ' || p_name || ') Q (\n' || p_brand || ' EI' AS data FROM part")
+def p6_inline_images(spark: SparkSession, d: str) -> DataFrame:
+    """Inline images whose data looks like commands."""
+    s = F.concat(F.lit("BI /W "), "p_size", F.lit(" /H 1\nID "), "p_name", F.lit(") Q (\n"), "p_brand", F.lit(" EI\nQ"))
+    c = P.parse_commands(table(spark, d, "part").select("p_partkey", s.alias("stream")), "p_partkey")
+    ops = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "op"))), lambda x: x["op"]), " ")
+    return c.groupBy("p_partkey").agg(ops.alias("ops"), F.max(F.element_at("props", "/W")).alias("width"), F.max("data").alias("data"))
+
+
 @query("p6_exact_parser", f"WITH {COMMANDS} SELECT doc_id, count(*) AS commands FROM cmd GROUP BY 1")
 def p6_exact_parser(spark: SparkSession, d: str) -> DataFrame:
     return P.parse_commands(_streams(spark, d)).groupBy("doc_id").agg(F.count("*").alias("commands"))
