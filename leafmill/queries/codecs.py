@@ -48,25 +48,47 @@ def f4_ascii85(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", packed.alias("p")).select("doc_id", F.md5(C.column(C.ascii85, F.col("p"))).alias("digest"))
 
 
-@query("f5_flate", "SELECT doc_id, md5(text) AS digest, md5(text) AS repaired, true AS broken FROM documents")
+@query("f5_flate", "SELECT doc_id, md5(text) AS digest, md5(text) AS repaired, doc_id % 2 = 1 AS broken FROM documents")
 def f5_flate(spark: SparkSession, d: str) -> DataFrame:
-    """Whole streams, streams without their checksum, and none at all."""
+    """Whole streams, streams without their checksum, and bytes of which every other one is no stream at all."""
     x = _docs(spark, d).withColumn("p", C.column(zlib.compress, F.col("raw")))
     cut = F.col("p").substr(F.lit(1), F.octet_length("p") - 4)
-    return x.select("doc_id", F.md5(C.column(C.flate, F.col("p"))).alias("digest"), F.md5(C.column(C.flate, cut)).alias("repaired"), C.column(C.flate, F.lit(b"\x00\x00\xff\xff")).isNull().alias("broken"))
+    return x.select("doc_id", F.md5(C.column(C.flate, F.col("p"))).alias("digest"), F.md5(C.column(C.flate, cut)).alias("repaired"), C.column(C.flate, F.when(F.col("doc_id") % 2 == 1, F.lit(b"\x00\x00\xff\xff")).otherwise(F.col("p"))).isNull().alias("broken"))
 
 
 @query("f7_lzw", SAME)
 def f7_lzw(spark: SparkSession, d: str) -> DataFrame:
-    """Streams of nine-bit codes with a clear before every 250 of them, as the simplest encoders write."""
-    x = _docs(spark, d).withColumn("p", C.column(_plain_lzw, F.col("raw")))
-    return x.select("doc_id", F.md5(C.column(C.lzw, F.col("p"))).alias("digest"))
-
-
-def _plain_lzw(data: bytes) -> bytes:
-    bits = "".join(f"{256:09b}" * (i % 250 == 0) + f"{b:09b}" for i, b in enumerate(data)) + f"{257:09b}"
-    bits += "0" * (-len(bits) % 8)
-    return int(bits, 2).to_bytes(len(bits) // 8, "big")
+    """Streams of table codes of 9 to 12 bits, whose widths grow a code early in every other one."""
+    x = _docs(spark, d)
+    early, late = (C.column(lambda b, e=e: C.lzw(_lzw_codes(b, e), e), F.col("raw")) for e in (1, 0))
+    return x.select("doc_id", F.md5(F.when(F.col("doc_id") % 2 == 0, early).otherwise(late)).alias("digest"))
+
+
+def _lzw_codes(data: bytes, early: int) -> bytes:
+    """The longest known strings as codes; a full table is cleared."""
+    bits, table, n, width, at = [f"{256:09b}"], {}, 259, 9, -1
+    for b in data:
+        known = b if at < 0 else table.get((at, b))
+        if known is not None:
+            at = known
+            continue
+        bits.append(f"{at:0{width}b}")
+        table[at, b] = n - 1
+        if n - 1 >= (1 << width) - early and width < 12:
+            width += 1
+        n += 1
+        if n > 4095:
+            bits.append(f"{256:0{width}b}")
+            table, n, width = {}, 259, 9
+        at = b
+    if at >= 0:
+        bits.append(f"{at:0{width}b}")
+        if n - 1 >= (1 << width) - early and width < 12:
+            width += 1
+    bits.append(f"{257:0{width}b}")
+    s = "".join(bits)
+    s += "0" * (-len(s) % 8)
+    return int(s, 2).to_bytes(len(s) // 8, "big")
 
 
 @query("f8_run_length", SAME)
@@ -161,13 +183,13 @@ def f23_recompression_rule(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", C.wins(kind, F.lit(30), F.col("p_size")).alias("wins"))
 
 
-@query("f16_fax_images", "SELECT vec_id, CAST(list_sum(list_transform(embedding, lambda v: CASE WHEN v > 0 THEN 1 ELSE 0 END)) AS BIGINT) AS black FROM embeddings")
+@query("f16_fax_images", "SELECT vec_id, CAST(96 * list_sum(list_transform(embedding, lambda v: CASE WHEN v > 0 THEN 1 ELSE 0 END)) AS BIGINT) AS black FROM embeddings")
 def f16_fax_images(spark: SparkSession, d: str) -> DataFrame:
-    """Bitmaps of eight by eight under two-dimensional facsimile coding and back."""
+    """Two rows of 3,072 pixels, in runs of 96 and more, under two-dimensional facsimile coding and back."""
     from leafmill.sources import fax
 
-    bits = F.array_join(F.transform("embedding", lambda v: F.when(v > 0, "1").otherwise("0")), "")
+    bits = F.array_join(F.transform("embedding", lambda v: F.repeat(F.when(v > 0, "1").otherwise("0"), F.lit(96))), "")
     octets = F.transform(F.regexp_extract_all(bits, F.lit(".{8}"), 0), lambda b: F.lpad(F.conv(b, 2, 16), 2, "0"))
     x = table(spark, d, "embeddings").select("vec_id", F.unhex(F.array_join(octets, "")).alias("raw"))
-    back = C.column(lambda b: fax.decode(fax.encode(b, 8), 8), F.col("raw"))
+    back = C.column(lambda b: fax.decode(fax.encode(b, 3072), 3072), F.col("raw"))
     return x.select("vec_id", F.aggregate(S.hex_codes(back, 1), F.lit(0).cast("long"), lambda a, b: a + F.bit_count(b)).alias("black"))

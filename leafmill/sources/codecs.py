@@ -111,23 +111,25 @@ def runs(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def to_run_length(data: bytes) -> bytes:
     """Runs of three and more as repeats, all between as literals of up to 128; no end mark."""
-    out, literal = bytearray(), bytearray()
+    out, done = bytearray(), 0
 
-    def flush() -> None:
-        for k in range(0, len(literal), 128):
-            part = literal[k : k + 128]
+    def literal(end: int) -> None:
+        for k in range(done, end, 128):
+            part = data[k : min(k + 128, end)]
             out.append(len(part) - 1)
             out.extend(part)
-        literal.clear()
 
-    for value, n in zip(*(a.tolist() for a in runs(data))):
+    values, lengths = runs(data)
+    long = np.flatnonzero(lengths >= 3)
+    starts = (np.cumsum(lengths) - lengths)[long]
+    for value, at, n in zip(values[long].tolist(), starts.tolist(), lengths[long].tolist()):
+        literal(at)
         while n >= 3:
-            flush()
             take = min(n, 128)
             out += bytes((257 - take, value))
-            n -= take
-        literal.extend(bytes((value,)) * n)
-    flush()
+            at, n = at + take, n - take
+        done = at
+    literal(len(data))
     return bytes(out)
 
 
