@@ -143,13 +143,13 @@ def a13_mostly_black(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "m14_sampled_function",
-    """WITH x AS (SELECT vec_id, embedding[1:4] AS t, least(greatest(abs(embedding[5]) * 4, 0), 1)::DOUBLE * 3 AS p FROM embeddings), y AS (SELECT *, CAST(least(floor(p), 2) AS INT) AS k FROM x)
+    """WITH x AS (SELECT vec_id, embedding AS t, least(greatest(abs(embedding[5]) * 4, 0), 1)::DOUBLE * 63 AS p FROM embeddings), y AS (SELECT *, CAST(least(floor(p), 62) AS INT) AS k FROM x)
     SELECT vec_id, round((t[k + 1]::DOUBLE + (t[k + 2]::DOUBLE - t[k + 1]::DOUBLE) * (p - k)) / 255 * 2 - 1 + 1e-9, 6) + 0.0 AS v FROM y""",
 )
 def m14_sampled_function(spark: SparkSession, d: str) -> DataFrame:
-    samples = F.slice("embedding", 1, 4).cast("array<double>")
+    samples = F.col("embedding").cast("array<double>")
     x = (F.abs(F.col("embedding")[4]) * F.lit(4).cast("float")).cast("double")
-    return table(spark, d, "embeddings").select("vec_id", r6(P.sampled(x, samples, 8, decode=(-1, 1), count=4)).alias("v"))
+    return table(spark, d, "embeddings").select("vec_id", r6(P.sampled(x, samples, 8, decode=(-1, 1), count=64)).alias("v"))
 
 
 @query("m15_exponential", "SELECT p_partkey, round(0.1 + pow(least(p_size / 40.0, 1), 1.7) * 0.7 + 1e-9, 6) + 0.0 AS v FROM part")

@@ -128,12 +128,12 @@ def j11_stripped_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "j13_cid_maps",
-    """WITH x AS (SELECT vec_id, list_transform(embedding[1:8], lambda v: CAST(floor(abs(v) * 1000) AS BIGINT) % 256) AS b FROM embeddings)
-    SELECT vec_id, (SELECT count(*) FROM (SELECT unnest(range(0, 4)) AS i) WHERE b[2 * i + 1] * 256 + b[2 * i + 2] <> 0 OR i = 0) AS mapped,
+    """WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(abs(v) * 1000) AS BIGINT) % 256) AS b FROM embeddings)
+    SELECT vec_id, (SELECT count(*) FROM (SELECT unnest(range(0, 32)) AS i) WHERE b[2 * i + 1] * 256 + b[2 * i + 2] <> 0 OR i = 0) AS mapped,
         CAST(b[1] * 256 + b[2] AS BIGINT) AS gid0, CAST(list_sum(list_transform(b, lambda v: bit_count(CAST(v AS INT)))) AS BIGINT) AS cids FROM x""",
 )
 def j13_cid_maps(spark: SparkSession, d: str) -> DataFrame:
-    b = F.transform(F.slice("embedding", 1, 8), lambda v: F.format_string("%02X", (F.floor(F.abs(v) * F.lit(1000).cast("float")) % 256).cast("int")))
+    b = F.transform("embedding", lambda v: F.format_string("%02X", (F.floor(F.abs(v) * F.lit(1000).cast("float")) % 256).cast("int")))
     x = table(spark, d, "embeddings").select("vec_id", F.unhex(F.array_join(b, "")).alias("b"))
     m = O.cid_to_gid(F.col("b"))
     return x.select("vec_id", F.size(m).cast("long").alias("mapped"), m[0]["gid"].cast("long").alias("gid0"), F.size(O.cid_set(F.col("b"))).cast("long").alias("cids"))
@@ -322,11 +322,11 @@ def n6_install_font(spark: SparkSession, d: str) -> DataFrame:
     return O.install(have, c.select("c_custkey", F.lit("new").alias("font")), ["c_custkey"])
 
 
-@query("o5_map_overlay", "SELECT coalesce(a.k, b.k) AS cc, coalesce(b.v, a.v) AS unicode FROM (SELECT p_size AS k, min(p_name) AS v FROM part WHERE p_partkey % 2 = 0 GROUP BY 1) a FULL JOIN (SELECT p_size AS k, max(p_type) AS v FROM part WHERE p_partkey % 3 = 0 GROUP BY 1) b ON a.k = b.k")
+@query("o5_map_overlay", "SELECT coalesce(a.k, b.k) AS cc, coalesce(b.v, a.v) AS unicode FROM (SELECT p_size AS k, min(p_name) AS v FROM part WHERE p_partkey % 2 = 0 GROUP BY 1) a FULL JOIN (SELECT p_size AS k, max(p_type) AS v FROM part WHERE p_partkey % 2 = 1 OR p_partkey % 3 = 0 GROUP BY 1) b ON a.k = b.k")
 def o5_map_overlay(spark: SparkSession, d: str) -> DataFrame:
     p = _part(spark, d, "p_size", "p_name", "p_type")
     a = p.where("p_partkey % 2 = 0").groupBy(F.col("p_size").alias("cc")).agg(F.min("p_name").alias("unicode"))
-    b = p.where("p_partkey % 3 = 0").groupBy(F.col("p_size").alias("cc")).agg(F.max("p_type").alias("unicode"))
+    b = p.where("p_partkey % 2 = 1 or p_partkey % 3 = 0").groupBy(F.col("p_size").alias("cc")).agg(F.max("p_type").alias("unicode"))
     return O.overlay(a, b)
 
 
@@ -399,11 +399,11 @@ def j13_composite_codes(spark: SparkSession, d: str) -> DataFrame:
     return K.composite_codes(pair, none, pair.select("font", "cid"), gids)
 
 
-@query("k5_core14_fonts", "SELECT p_partkey, 'Times-Italic' AS name, 'StandardEncoding' AS encoding, CASE WHEN p_size % 2 = 0 THEN 600 END AS width FROM part")
+@query("k5_core14_fonts", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'Times-Italic' WHEN 1 THEN 'Symbol' WHEN 2 THEN 'Courier-Bold' END AS name, CASE p_size % 4 WHEN 1 THEN 'SymbolEncoding' WHEN 3 THEN NULL ELSE 'StandardEncoding' END AS encoding, CASE WHEN p_size % 4 = 2 THEN 600 END AS width FROM part")
 def k5_core14_fonts(spark: SparkSession, d: str) -> DataFrame:
-    font = F.concat(F.lit("Times New Roman,Italic-v"), "p_size")
-    other = F.when(F.col("p_size") % 2 == 0, "Courier New").otherwise("Arial")
-    return _part(spark, d, "p_size").select("p_partkey", O.core14_name(font).alias("name"), O.core14_encoding(font).alias("encoding"), O.core14_width(other).alias("width"))
+    given = F.element_at(F.array(*map(F.lit, ("Times New Roman,Italic", "Symbol", "Courier-Bold", "Garamond"))), (F.col("p_size") % 4 + 1).cast("int"))
+    font = F.concat(given, F.lit("-v"), "p_size")
+    return _part(spark, d, "p_size").select("p_partkey", O.core14_name(font).alias("name"), O.core14_encoding(font).alias("encoding"), O.core14_width(font).alias("width"))
 
 
 @query("k8_known_prefixes", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN CAST('0x' || CAST(p_partkey % 90 + 10 AS VARCHAR) AS BIGINT) ELSE p_partkey % 90 + 10 END AS cc FROM part")

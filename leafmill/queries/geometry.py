@@ -211,10 +211,9 @@ def j20_intersection(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "k24_validated_constructors",
-    """SELECT vec_id, len(embedding) = 6 AS is_matrix, CAST(len(embedding) % 2 = 0 AS BOOLEAN) AS is_points, round(list_min([embedding[1], embedding[3]]), 4) + 0.0 AS x0 FROM embeddings""",
+    """SELECT vec_id, len(embedding) = 6 AS is_matrix, CAST(len(embedding) % 2 = 0 AS BOOLEAN) AS is_points, round(list_min(list_transform(range(0, 32), lambda i: embedding[2 * i + 1])), 4) + 0.0 AS x0 FROM embeddings""",
 )
 def k24_validated_constructors(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("embedding").cast("array<double>")
-    ps = G.points_of(F.slice(e, 1, 4))
-    x0 = F.round(F.least(ps[0]["x"], ps[1]["x"]).cast("float"), 4) + F.lit(0.0)
+    x0 = F.round(F.array_min(F.transform(G.points_of(e), lambda p: p["x"])).cast("float"), 4) + F.lit(0.0)
     return table(spark, d, "embeddings").select("vec_id", G.valid_mat(e).isNotNull().alias("is_matrix"), (F.size(e) % 2 == 0).alias("is_points"), x0.alias("x0"))

@@ -21,13 +21,13 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _roots(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "region").where("r_regionkey < 3").select(F.lit(1).alias("doc"), F.concat(F.lit("r"), "r_regionkey").alias("node"))
+    return table(spark, d, "region").select(F.lit(1).alias("doc"), F.concat(F.lit("r"), "r_regionkey").alias("node"))
 
 
-TREE = """WITH t AS (SELECT 'r' || r_regionkey AS node, 0 AS level, '' AS path FROM region WHERE r_regionkey < 3
-    UNION ALL SELECT 'n' || n_nationkey, 1, '/Kids' FROM nation WHERE n_regionkey < 3
-    UNION ALL SELECT 'c' || c_custkey, 2, '/Kids/Kids' FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey < 3
-    UNION ALL SELECT 'o' || o_orderkey, 3, '/Kids/Kids/Kids' FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey < 3)"""
+TREE = """WITH t AS (SELECT 'r' || r_regionkey AS node, 0 AS level, '' AS path FROM region
+    UNION ALL SELECT 'n' || n_nationkey, 1, '/Kids' FROM nation
+    UNION ALL SELECT 'c' || c_custkey, 2, '/Kids/Kids' FROM customer JOIN nation ON c_nationkey = n_nationkey
+    UNION ALL SELECT 'o' || o_orderkey, 3, '/Kids/Kids/Kids' FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 
 
 @query("g1_reach", f"{TREE} SELECT DISTINCT node, level FROM t")

@@ -40,10 +40,11 @@ def r4_scalar_list(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", F.coalesce(S.as_scalar(one), F.lit("")).alias("back"), F.size(wrapped).alias("n"))
 
 
-@query("r5_soft_hyphen", "SELECT doc_id, md5(regexp_replace(substr(text, 1, n_chars // 2), '-$', chr(173))) AS digest, CAST(suffix(substr(text, 1, n_chars // 2), '-') AS BOOLEAN) AS hyphen FROM documents")
+@query("r5_soft_hyphen", "SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN text || chr(173) ELSE text || '.' END) AS digest, doc_id % 2 = 0 AS hyphen FROM documents")
 def r5_soft_hyphen(spark: SparkSession, d: str) -> DataFrame:
-    half = F.expr("substring(text, 1, cast(n_chars div 2 as int))")
-    return table(spark, d, "documents").select("doc_id", F.md5(S.soft_hyphen(half)).alias("digest"), half.endswith("-").alias("hyphen"))
+    """Whole texts, every other one with a hyphen after it."""
+    text = F.concat("text", F.when(F.col("doc_id") % 2 == 0, "-").otherwise("."))
+    return table(spark, d, "documents").select("doc_id", F.md5(S.soft_hyphen(text)).alias("digest"), text.endswith("-").alias("hyphen"))
 
 
 @query("r6_properties", "SELECT event_id, CAST(value AS INT) AS x0, event_type AS image, CAST(user_id AS INT) % 7 AS ppageno FROM events")

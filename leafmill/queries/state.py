@@ -149,16 +149,19 @@ def n7_ocr_layer(spark: SparkSession, d: str) -> DataFrame:
     return O.ocr_commands(z, "p_partkey").select("p_partkey", "stream")
 
 
-@query("t13_curve_decimation", "SELECT vec_id, 1 AS segments FROM embeddings")
+@query("t13_curve_decimation", "SELECT vec_id, CASE WHEN embedding[3] > 0 THEN 1 WHEN embedding[4] > 0 THEN 2 ELSE 3 END AS segments FROM embeddings")
 def t13_curve_decimation(spark: SparkSession, d: str) -> DataFrame:
-    """Halves of one curve, which merge to it again."""
+    """Halves of one curve merge to it again; with a gap between them, or a corner that bulges the other way after them, they don't."""
     e = lambda i: F.col("embedding")[i].cast("double")
     p = [[e(0), e(1)], [e(0) + 1, e(1) + 2], [e(0) + 3, e(1) + 2], [e(0) + 4, e(1)]]
     mid = lambda a, b: [(a[k] + b[k]) / 2 for k in (0, 1)]
     a, b, c = mid(p[0], p[1]), mid(p[1], p[2]), mid(p[2], p[3])
     ab, bc = mid(a, b), mid(b, c)
     m = mid(ab, bc)
-    points = F.array(*[v for q in (p[0], a, ab, m, m, bc, c, p[3]) for v in q])
+    halves = F.array(*[v for q in (p[0], a, ab, m, m, bc, c, p[3]) for v in q])
+    apart = F.array(*[v for q in (p[0], a, ab, m) for v in q], *[v + 7 for q in (m, bc, c, p[3]) for v in q])
+    more = F.concat(apart, F.array(*[v - 9 for q in (p[0], a, ab, m) for v in q]))
+    points = F.when(e(2) > 0, halves).when(e(3) > 0, apart).otherwise(more)
     return curves.decimated(table(spark, d, "embeddings").select("vec_id", points.alias("points")), "vec_id").select("vec_id", "segments")
 
 

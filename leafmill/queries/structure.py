@@ -40,17 +40,17 @@ def s7_page_copy(spark: SparkSession, d: str) -> DataFrame:
     return O.replace(p, content, ["o_custkey", "page"], "o_totalprice").select("o_custkey", F.col("page").cast("long").alias("page"), "o_totalprice")
 
 
-@query("o3_first_match", "SELECT p_brand, arg_min(p_partkey, p_name || '|' || lpad(CAST(p_partkey AS VARCHAR), 12, '0')) AS p_partkey FROM part WHERE contains(p_type, 'a') OR true GROUP BY 1")
+@query("o3_first_match", "SELECT p_brand, arg_min(p_partkey, p_name || '|' || lpad(CAST(p_partkey AS VARCHAR), 12, '0')) AS p_partkey FROM part WHERE p_size > 25 GROUP BY 1")
 def o3_first_match(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("p_brand").orderBy("p_name", "p_partkey")
-    p = table(spark, d, "part").select("p_brand", "p_name", "p_partkey")
+    p = table(spark, d, "part").where("p_size > 25").select("p_brand", "p_name", "p_partkey")
     return p.withColumn("n", F.row_number().over(w)).where("n = 1").select("p_brand", "p_partkey")
 
 
-@query("s13_font_search", "SELECT s_nationkey, arg_min(s_suppkey, s_suppkey) AS s_suppkey FROM supplier WHERE s_name LIKE 'Supplier%' GROUP BY 1")
+@query("s13_font_search", "SELECT s_nationkey, arg_min(s_suppkey, s_suppkey) AS s_suppkey FROM supplier WHERE s_name LIKE '%7%' GROUP BY 1")
 def s13_font_search(spark: SparkSession, d: str) -> DataFrame:
     """The first file of the searched folders whose name matches."""
-    s = table(spark, d, "supplier").where(F.col("s_name").startswith("Supplier"))
+    s = table(spark, d, "supplier").where(F.col("s_name").contains("7"))
     return s.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("s_suppkey"))
 
 
