@@ -96,3 +96,13 @@ def type3_box(own: Column, glyphs: Column) -> Column:
     side = lambda k, least: (F.array_min if least else F.array_max)(F.transform(glyphs, lambda b: b[k])).alias(k)
     union = F.struct(side("x0", True), side("y0", True), side("x1", False), side("y1", False))
     return F.coalesce(F.when(area(own), own), F.when(F.size(glyphs) > 0, F.when(area(union), union)), G.box(0, 0, 1, 1))
+
+
+def transparency(objs: DataFrame, key: str = "path") -> DataFrame:
+    """(key, obj_id, space, isolated, knockout) of the transparency groups among forms and pages; without a color space
+    of its own a group has the one it is drawn in, so space is null."""
+    g = F.from_json("value", "Group struct<S:string,CS:string,I:boolean,K:boolean>")["Group"]
+    x = objs.select(key, "obj_id", g.alias("g")).where(F.col("g.S").isin("/Transparency", "Transparency"))
+    flag = lambda c: F.coalesce(F.col(f"g.{c}"), F.lit(False))
+    space = F.regexp_replace("g.CS", r'^\[?"?/?([A-Za-z]+).*$', "$1")
+    return x.select(key, "obj_id", space.alias("space"), flag("I").alias("isolated"), flag("K").alias("knockout"))

@@ -29,6 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """All queries and their SQL."""
-    from leafmill.queries import codecs, color, content, files, fonts, geometry, graph, images, layers, numbers, state, structure  # noqa: F401
+    from leafmill.queries import codecs, color, content, files, fonts, geometry, graph, images, layers, numbers, programs, state, structure  # noqa: F401
 
     return QUERIES, ORACLE_SQL

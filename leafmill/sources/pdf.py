@@ -330,9 +330,9 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return objects(spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content"))
 
 
-def write_file(contents: list[bytes], width: float = 612, height: float = 792, packed: bool = False) -> bytes:
+def write_file(contents: list[bytes], width: float = 612, height: float = 792, packed: bool = False, font: bytes | None = None) -> bytes:
     """A file of one page for each content stream. packed: page objects in an object stream, and the
-    cross-references as a stream."""
+    cross-references as a stream. font: a TrueType program to embed in place of Helvetica."""
     import zlib
 
     n = len(contents)
@@ -343,13 +343,19 @@ def write_file(contents: list[bytes], width: float = 612, height: float = 792, p
         body[4 + 2 * i] = f"<< /Type /Page /Parent 2 0 R /Resources << /Font << /F1 3 0 R >> >> /Contents {5 + 2 * i} 0 R >>".encode()
         z = zlib.compress(c)
         streams[5 + 2 * i] = b"<< /Length %d /Filter /FlateDecode >>\nstream\n" % len(z) + z + b"\nendstream"
+    size = 4 + 2 * n
+    if font is not None:
+        body[3] = f"<< /Type /Font /Subtype /TrueType /BaseFont /Own /FontDescriptor {size} 0 R >>".encode()
+        body[size] = f"<< /Type /FontDescriptor /FontName /Own /Flags 4 /FontFile2 {size + 1} 0 R >>".encode()
+        z = zlib.compress(font)
+        streams[size + 1] = b"<< /Length %d /Length1 %d /Filter /FlateDecode >>\nstream\n" % (len(z), len(font)) + z + b"\nendstream"
+        size += 2
     out, at = bytearray(b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n"), {}
 
     def put(k: int, text: bytes) -> None:
         at[k] = len(out)
         out.extend(b"%d 0 obj\n" % k + text + b"\nendobj\n")
 
-    size = 4 + 2 * n
     if packed:
         head, parts, pos = [], [], 0
         for k, text in body.items():
@@ -381,10 +387,10 @@ def write_file(contents: list[bytes], width: float = 612, height: float = 792, p
     return bytes(out)
 
 
-def pages_file(contents: Column, packed: bool = False) -> Column:
+def pages_file(contents: Column, packed: bool = False, font: bytes | None = None) -> Column:
     """A file from an array of content streams (text), as a column."""
 
     def run(col: pa.Array) -> pa.Array:
-        return pa.array([write_file([(c or "").encode() for c in cs or []], packed=packed) for cs in col.to_pylist()], pa.binary())
+        return pa.array([write_file([(c or "").encode() for c in cs or []], packed=packed, font=font) for cs in col.to_pylist()], pa.binary())
 
     return F.arrow_udf(run, "binary")(contents)
