@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -166,9 +167,10 @@ def _type1(data: bytes) -> dict:
     return {"kind": "Type1", "name": find(rb"/FontName\s*/(\S+)").decode("latin-1") or None, "units": 1 / scale, "y0": box[1] * scale if len(box) == 4 else None, "y1": box[3] * scale if len(box) == 4 else None, "glyphs": None, "widths": {}, "names": {}, "maps": {}, "encoding": encoding}
 
 
+@lru_cache(maxsize=32)
 def info(data: bytes) -> dict | None:
     """What a program says of itself: kind, units, height, widths by glyph number, names, character maps and, for
-    Type 1, its encoding. None for what can't be read, as bare CFF."""
+    Type 1, its encoding. None for what can't be read, as bare CFF. Don't change what it gives: it is kept."""
     try:
         return _type1(data) if data[:1] in (b"%", b"\x80") else _true_type(data)
     except (FontError, struct.error, KeyError, ValueError, IndexError):
