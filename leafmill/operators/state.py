@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions.batches import bounded
 from leafmill.operators.fonts import PRIVATE
 from leafmill.sources.content import parse, lex, unescape
 
@@ -221,6 +222,7 @@ def chunks(streams: DataFrame, key: str = "doc_id", stream: str = "stream", font
 def placed(streams: DataFrame, key: str = "doc_id", stream: str = "stream", fonts: str = "fonts") -> DataFrame:
     """chunks(), and rows with a name and no text for the objects that a stream draws, m being the matrix there."""
     kind = streams.schema[key].dataType.simpleString()
+    bounded(streams.sparkSession)
     x = streams.select(key, stream, F.to_json(fonts))  # as text, so that a font that many rows share is read once a batch
     return x.mapInArrow(_chunks, f"key {kind}, seq int, text string, m array<double>, name string").withColumnRenamed("key", key)
 
