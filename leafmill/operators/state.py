@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.batches import bounded
+from leafmill.functions.batches import BYTES, bounded
 from leafmill.operators.fonts import PRIVATE
 from leafmill.sources.content import parse, lex, unescape
 
@@ -246,11 +246,25 @@ def before(m: Sequence[float], n: Sequence[float]) -> bool:
 def reading_order(ms: list[Sequence[float]]) -> list[int]:
     """Indices in reading order by a stable sort. The relation isn't transitive, so the result depends on the
     order that comes in: callers pin it."""
-    return sorted(range(len(ms)), key=cmp_to_key(lambda i, j: -before(ms[i], ms[j]) or before(ms[j], ms[i])))
+    sides = [_sides(m) for m in ms]
+    return sorted(range(len(ms)), key=cmp_to_key(lambda i, j: _after(sides[j], sides[i]) - _after(sides[i], sides[j])))
 
 
-def gap(m: Sequence[float], prev: Sequence[float]) -> str:
-    """Line ends or spaces between two boxes."""
+def _sides(m: Sequence[float]) -> tuple[float, ...]:
+    """What _under() needs of a box, computed once: corners, the ways up and right, half the base, half the left side."""
+    (ox, oy), (px, py), (rx, ry) = at(m, 0, 0), at(m, 0, 1), at(m, 1, 0)
+    return ox, oy, px, py, px - ox, py - oy, rx - ox, ry - oy, *at(m, 0.5, 0), *at(m, 0, 0.5)
+
+
+def _after(p: tuple[float, ...], q: tuple[float, ...]) -> bool:
+    """_under() of the sides of two boxes."""
+    ox, oy, px, py, ux, uy, rx, ry, hx, hy, _, _ = p
+    x, y = q[10], q[11]
+    return ux * (x - ox) + uy * (y - oy) < 0 or ux * (x - px) + uy * (y - py) < 0 < rx * (x - hx) + ry * (y - hy)
+
+
+def gap(m: Sequence[float], prev: Sequence[float], widest: int | None = None) -> str:
+    """Line ends or spaces between two boxes; at most so many spaces as widest, if that is given."""
     p = (prev[0] or 1e-6, *prev[1:])
     w, h = math.hypot(p[0], p[1]), math.hypot(p[2], p[3])
     unit = SPACE_UNIT * h / w if w else SPACE_UNIT
@@ -262,7 +276,11 @@ def gap(m: Sequence[float], prev: Sequence[float]) -> str:
     x, y = (p[3] * dx - p[2] * dy) / det, (p[0] * dy - p[1] * dx) / det
     if not 0 < y < 1:
         return "\n" * int(round(abs(y - 0.5)))
-    return " " * max(0, math.ceil((x - 1 - SPACE_LEAST * unit) / unit))
+    return _blank(max(0, math.ceil((x - 1 - SPACE_LEAST * unit) / unit)), widest)
+
+
+def _blank(n: int, widest: int | None) -> str:
+    return " " * (n if widest is None else min(n, widest))
 
 
 def _box(m: Sequence[float]) -> tuple[float, float, float]:
@@ -271,7 +289,7 @@ def _box(m: Sequence[float]) -> tuple[float, float, float]:
     return min(p[0] for p in ps), min(p[1] for p in ps), max(p[1] for p in ps)
 
 
-def page_text(texts: list[str], ms: list[Sequence[float]]) -> str:
+def page_text(texts: list[str], ms: list[Sequence[float]], widest: int | None = None) -> str:
     """The text of a page's chunks; blank ones only count for the margin and the mean height."""
     if not ms:
         return ""
@@ -281,21 +299,33 @@ def page_text(texts: list[str], ms: list[Sequence[float]]) -> str:
     order = [keep[i] for i in reading_order([ms[i] for i in keep])]
     out = []
     for k, i in enumerate(order):
-        space = gap(ms[i], ms[order[k - 1]]) if k else ""
+        space = gap(ms[i], ms[order[k - 1]], widest) if k else ""
         if space.startswith("\n"):
-            space += " " * int((boxes[i][0] - left) / (INDENT * height) if height else 0)
+            space += _blank(int((boxes[i][0] - left) / (INDENT * height) if height else 0), widest)
         out.append(space + texts[i])
     return "".join(out)
 
 
-def page_texts(found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, text) of chunks (key, seq, text, m). A page is one group: its chunks must fit in a task."""
+def page_texts(found: DataFrame, key: str = "doc_id", widest: int | None = None) -> DataFrame:
+    """(key, text) of chunks (key, seq, text, m). A page is one group: its chunks must fit in a task, others beside it
+    needn't. A gap counts as many spaces as are as wide, which can be far more than the text itself; callers to which
+    any gap is a space say widest=1."""
+    bounded(found.sparkSession)
     grouped = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "text", "m"))).alias("c"))
 
-    def run(col: pa.Array) -> pa.Array:
-        return pa.array([page_text([c["text"] for c in cs], [c["m"] for c in cs]) for cs in col.to_pylist()], pa.string())
-
-    return grouped.select(key, F.arrow_udf(run, "string")("c").alias("text"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out, size, done = [], 0, 0
+            for i, cs in enumerate(b.column(1)):  # page by page, as plain columns: objects of all fields take ten times the memory
+                c = cs.values
+                out.append(page_text(c.field("text").to_pylist(), c.field("m").to_pylist(), widest))
+                size += len(out[-1])
+                if size >= BYTES or i == b.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(out)), pa.array(out, pa.string())], ["key", "text"])
+                    out, size, done = [], 0, i + 1
+
+    kind = found.schema[key].dataType.simpleString()
+    return grouped.mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
 
 
 def gap_text(m: Column, prev: Column) -> Column:

@@ -132,7 +132,7 @@ def o1_reading_order(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     m = F.array(*[x.cast("double") for x in (F.lit(0.5), F.lit(0), F.lit(0), F.lit(8), k, k % 7 * 10)])
     x = table(spark, d, "orders").select("o_custkey", k.alias("seq"), F.concat(F.lit("|"), k.cast("string")).alias("text"), m.alias("m"))
-    t = O.page_texts(x, "o_custkey")
+    t = O.page_texts(x, "o_custkey", widest=1)
     return t.select("o_custkey", F.trim(F.regexp_replace("text", r"[|\s]+", " ")).alias("found"))
 
 

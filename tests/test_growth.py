@@ -20,3 +20,54 @@ def test_files_that_embed_one_font_build_it_once():
 def test_work_on_narrow_tables_is_dealt_over_the_cores(spark, sf):
     cores = spark.sparkContext.defaultParallelism
     assert QUERIES["k7_font_constructor"](spark, sf).rdd.getNumPartitions() >= cores
+
+
+def test_reading_order_is_that_of_the_relation():
+    import random
+    from functools import cmp_to_key
+
+    from leafmill.operators.state import before, reading_order
+
+    r = random.Random(3)
+    for _ in range(60):
+        ms = [tuple(r.choice((0, 0.5, 1, -1, 8, 0.1)) * (r.random() if r.random() < 0.5 else 1) for _ in range(4)) + (r.randrange(9), r.randrange(9)) for _ in range(25)]
+        want = sorted(range(25), key=cmp_to_key(lambda i, j: -before(ms[i], ms[j]) or before(ms[j], ms[i])))
+        assert reading_order(ms) == want
+
+
+def _batches(df) -> tuple[int, int]:
+    """Rows and bytes to which the session bounds Arrow batches once a query is built."""
+    get = df.sparkSession.conf.get
+    return int(get("spark.sql.execution.arrow.maxRecordsPerBatch")), int(get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB"))
+
+
+def _unbound(spark):
+    for k in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{k}")
+
+
+def test_pages_come_in_small_batches(spark, sf):
+    _unbound(spark)
+    rows, size = _batches(QUERIES["o1_reading_order"](spark, sf))
+    assert rows <= 1000 and size <= 4 << 20
+
+
+def test_wide_gaps_are_spaces_or_one_space():
+    from leafmill.operators.state import page_text
+
+    ms = [(1.0, 0.0, 0.0, 1.0, x, y) for x, y in ((0.0, 0.0), (50.0, 0.0), (900.0, -3.0))]
+    assert page_text(["a", "b", "c"], ms, widest=1) == "a b\n\n\n c"
+    whole = page_text(["a", "b", "c"], ms)
+    assert whole.split() == ["a", "b", "c"] and whole.count(" ") > 1000
+
+
+def test_pages_of_wide_gaps_leave_a_worker_one_by_one(spark):
+    """A batch of pages whose gaps are millions of spaces isn't held as a whole."""
+    from pyspark.sql import functions as F
+
+    from leafmill.operators.state import page_texts
+
+    m = F.array(*[F.lit(v).cast("double") for v in (1, 0, 0, 1)], F.col("x"), F.lit(0.0))
+    x = spark.range(40).select("id", F.explode(F.array(F.lit(0.0), F.lit(500_000.0))).alias("x"))
+    t = page_texts(x.select("id", F.col("x").alias("seq"), F.lit("a").alias("text"), m.alias("m")).coalesce(1), "id")
+    assert t.agg(F.min(F.length("text"))).first()[0] > 900_000 and t.count() == 40
