@@ -40,7 +40,7 @@ def n1_font_programs(spark: SparkSession, d: str) -> DataFrame:
     """A program for each size of part: one glyph more than its size, each mapped and named."""
     make = lambda n: sfnt.program([250] + [500] * n, {"31": {0x2000 + i: i for i in range(1, n + 1)}}, [".notdef"] + [f"uni{64 + i:X}" for i in range(1, n + 1)])
     data = C.column(lambda x: make(int(x)), F.encode(F.col("p_size").cast("string"), "UTF-8"))
-    x = table(spark, d, "part").select("p_partkey", sfnt.programs(data).alias("i"))
+    x = spread(table(spark, d, "part").select("p_partkey", "p_size")).select("p_partkey", sfnt.programs(data).alias("i"))
     return x.select("p_partkey", "i.kind", "i.glyphs", F.round(F.aggregate(F.map_values("i.widths"), F.lit(0.0), lambda a, b: a + b), 6).alias("width"), F.size(F.col("i.maps")["31"]).cast("long").alias("mapped"), F.col("i.names")[F.col("i.glyphs") - 1].alias("last_name"))
 
 
@@ -49,7 +49,7 @@ def n5_added_map(spark: SparkSession, d: str) -> DataFrame:
     """A program given one more character map keeps the one it had."""
     font = scrambled_font()
     data = C.column(lambda x: sfnt.with_map(font, "31", {0x41 + int(x): 1}), F.encode(F.col("p_size").cast("string"), "UTF-8"))
-    x = table(spark, d, "part").select("p_partkey", sfnt.programs(data).alias("i"))
+    x = spread(table(spark, d, "part").select("p_partkey", "p_size")).select("p_partkey", sfnt.programs(data).alias("i"))
     return x.select("p_partkey", F.map_keys(F.col("i.maps")["31"])[0].alias("code"), F.map_values(F.col("i.maps")["31"])[0].alias("glyph"), F.size(F.col("i.maps")["30"]).alias("kept"))
 
 

@@ -1,5 +1,7 @@
 """What a step holds or repeats doesn't grow with the table."""
 
+import pytest
+
 from leafmill.queries import load
 
 QUERIES, SQL = load()
@@ -17,9 +19,10 @@ def test_files_that_embed_one_font_build_it_once():
     assert dict(c["unicode"])[0x41] == "B" and dict(a["unicode"])[0x41] == "z"
 
 
-def test_work_on_narrow_tables_is_dealt_over_the_cores(spark, sf):
+@pytest.mark.parametrize("name", ["k7_font_constructor", "n5_added_map"])
+def test_work_on_narrow_tables_is_dealt_over_the_cores(spark, sf, name):
     cores = spark.sparkContext.defaultParallelism
-    assert QUERIES["k7_font_constructor"](spark, sf).rdd.getNumPartitions() >= cores
+    assert QUERIES[name](spark, sf).rdd.getNumPartitions() >= cores
 
 
 def test_reading_order_is_that_of_the_relation():
@@ -71,3 +74,20 @@ def test_pages_of_wide_gaps_leave_a_worker_one_by_one(spark):
     x = spark.range(40).select("id", F.explode(F.array(F.lit(0.0), F.lit(500_000.0))).alias("x"))
     t = page_texts(x.select("id", F.col("x").alias("seq"), F.lit("a").alias("text"), m.alias("m")).coalesce(1), "id")
     assert t.agg(F.min(F.length("text"))).first()[0] > 900_000 and t.count() == 40
+
+
+def test_equal_data_meets_a_function_once_a_batch(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from leafmill.sources import codecs
+
+    def f(x):
+        with open(tmp_path / "calls", "a") as out:
+            out.write(".")
+        return x[::-1]
+
+    x = spark.range(300).coalesce(1).select(F.encode((F.col("id") % 3).cast("string"), "UTF-8").alias("b"))
+    x = x.withColumn("b", F.when(F.col("b") != F.lit(b"1"), F.concat("b", F.lit(b"x"))))
+    got = x.select(codecs.column(f, F.col("b")).alias("y")).groupBy("y").count().collect()
+    assert {None if r["y"] is None else bytes(r["y"]): r["count"] for r in got} == {None: 100, b"x0": 100, b"x2": 100}
+    assert len((tmp_path / "calls").read_text()) == 2
