@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import strings as S
+from leafmill.functions.batches import spread
 from leafmill.queries import query, table
 from leafmill.sources import ocr
 
@@ -31,7 +32,7 @@ def p12_octal_round_trip(spark: SparkSession, d: str) -> DataFrame:
 @query("n8_marked_up_layers", "SELECT p_partkey, p_size * 1.0::DOUBLE AS x1, p_name AS text FROM part")
 def n8_marked_up_layers(spark: SparkSession, d: str) -> DataFrame:
     page = F.format_string('<div class="ocr_page" title="image x; bbox 0 0 99 99"><span class="ocr_line" title="bbox 0 0 50 9; baseline 0.01 -2"><b title="bbox 0 0 %d 9" class="ocrx_word">%s</b></span></div>', "p_size", "p_name")
-    z = ocr.zones(table(spark, d, "part").select("p_partkey", page.alias("page")), "p_partkey", "page", script=False)
+    z = ocr.zones(spread(table(spark, d, "part").select("p_partkey", "p_size", "p_name")).select("p_partkey", page.alias("page")), "p_partkey", "page", script=False)
     return z.where("kind = 'ocrx_word' and page = 1 and path = '/ocr_page/ocr_line/ocrx_word'").select("p_partkey", "x1", "text")
 
 
