@@ -19,7 +19,7 @@ def test_files_that_embed_one_font_build_it_once():
     assert dict(c["unicode"])[0x41] == "B" and dict(a["unicode"])[0x41] == "z"
 
 
-@pytest.mark.parametrize("name", ["k7_font_constructor", "n5_added_map", "n1_font_programs"])
+@pytest.mark.parametrize("name", ["k7_font_constructor", "n5_added_map", "n1_font_programs", "n8_marked_up_layers"])
 def test_work_on_narrow_tables_is_dealt_over_the_cores(spark, sf, name):
     cores = spark.sparkContext.defaultParallelism
     assert QUERIES[name](spark, sf).rdd.getNumPartitions() >= cores
