@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def as_list(x: Column) -> Column:
     """A scalar as a list of one; null gives an empty list."""
     return F.filter(F.array(x), lambda v: v.isNotNull())

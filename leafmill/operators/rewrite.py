@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions.strings import once
 from leafmill.sources.content import FAMILIES
 
 TEXT = [op for f in ("text_state", "text_position", "text_show") for op in FAMILIES[f]] + ["BT", "ET"]
@@ -137,29 +138,49 @@ def merge_blocks(cmds: DataFrame, key: str = "doc_id") -> DataFrame:
     return x.drop("_gone", "_join")
 
 
-def paths(cmds: DataFrame, key: str = "doc_id") -> DataFrame:
-    """cmds and path: the number of the path that a command belongs to, null outside. A path begins with m
-    or re where none is open and ends with the next painting."""
-    w = _along(key).rowsBetween(Window.unboundedPreceding, -1)
-    paint = F.col("op").isin(list(FAMILIES["paint"]))
-    last_paint = F.coalesce(F.max(F.when(paint, F.col("seq"))).over(w), F.lit(-1))
-    x = cmds.withColumn("_p", last_paint)
-    begins = F.min(F.when(F.col("op").isin("m", "re"), F.col("seq"))).over(Window.partitionBy(key, "_p"))
-    inside = (F.col("seq") >= begins) & F.col("op").isin(list(FAMILIES["path"]) + list(FAMILIES["paint"]) + list(FAMILIES["clip"]))
-    return x.withColumn("path", F.when(inside, F.dense_rank().over(Window.partitionBy(key).orderBy("_p")))).drop("_p")
+def row_relative(cmds: Column) -> Column:
+    """The commands (seq, op, args, ..) of a stream, an array in order, each with path: the number of the path that it belongs
+    to, null outside; x, y: the first point of that path; and relative: its args from there. A path begins with m or re
+    where none is open and ends with the next painting. Clipping paths stay as they are. No shuffle and no sort."""
+    painting = list(FAMILIES["paint"])
+    drawing = painting + list(FAMILIES["path"] + FAMILIES["clip"])
+    number = lambda a: a.try_cast("double")
+
+    def ends(cs: Column) -> Column:
+        """0, the place of each painting, from 1, and the last place."""
+        some = F.filter(F.sequence(F.lit(1), F.size(cs)), lambda i: F.get(cs, i - 1)["op"].isin(painting))
+        return F.concat(F.array(F.lit(0)), F.when(F.size(cs) > 0, some).otherwise(F.array().cast("array<int>")), F.array(F.size(cs)))
+
+    def segment(part: Column, path: Column) -> Column:
+        begin = F.array_position(F.transform(part, lambda c: c["op"].isin("m", "re")), True)
+        return once(begin, lambda start: within(part, path, lambda c, i: (start > 0) & (i + 1 >= start) & c["op"].isin(drawing)))
+
+    def within(part: Column, path: Column, inside) -> Column:
+        return once(F.filter(part, inside), lambda own: once(place(own), lambda o: F.transform(part, lambda c, i: command(c, inside(c, i), path, o))))
+
+    def place(own: Column) -> Column:
+        at = lambda k: F.get(F.filter(F.transform(own, lambda c: number(F.get(c["args"], F.lit(k)))), lambda v: v.isNotNull()), F.lit(0))
+        kept = ~F.exists(own, lambda c: c["op"].isin("W", "W*"))
+        return F.struct(F.when(kept, at(0)).alias("x"), F.when(kept, at(1)).alias("y"))
+
+    def command(c: Column, inside: Column, path: Column, o: Column) -> Column:
+        count = F.when(c["op"] == "re", 2).otherwise(F.size(c["args"]))
+        moved = F.transform(c["args"], lambda a, i: F.when(i >= count, number(a)).otherwise(number(a) - F.when(i % 2 == 0, o["x"]).otherwise(o["y"])))
+        return F.struct(c.alias("c"), F.when(inside, path).alias("path"), F.when(inside, o["x"]).alias("x"), F.when(inside, o["y"]).alias("y"), F.when(inside & o["x"].isNotNull(), moved).alias("relative"))
+
+    def cut(cs: Column, at: Column) -> Column:
+        part = lambda e, k: segment(F.slice(cs, F.get(at, k) + 1, e - F.get(at, k)), k + 1)
+        return F.flatten(F.transform(F.slice(at, F.lit(2), F.size(at) - 1), part))
+
+    return once(cmds, lambda cs: once(ends(cs), lambda at: cut(cs, at)))
 
 
 def relative_paths(cmds: DataFrame, key: str = "doc_id") -> DataFrame:
-    """cmds with path, x, y: the first point of the path, and args relative to it. Clipping paths stay."""
-    x = paths(cmds, key)
-    w = Window.partitionBy(key, "path").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    num = lambda i: F.first(F.get("args", F.lit(i)).try_cast("double"), ignorenulls=True).over(w)
-    clipped = F.max(F.col("op").isin("W", "W*")).over(w)
-    inside = F.col("path").isNotNull() & ~clipped
-    x = x.withColumn("x", F.when(inside, num(0))).withColumn("y", F.when(inside, num(1)))
-    count = F.when(F.col("op") == "re", 2).otherwise(F.size("args"))
-    shifted = F.transform("args", lambda a, i: F.when(i >= count, a.try_cast("double")).otherwise(a.try_cast("double") - F.when(i % 2 == 0, F.col("x")).otherwise(F.col("y"))))
-    return x.withColumn("relative", F.when(F.col("x").isNotNull(), shifted))
+    """cmds with path, x, y, relative of row_relative(). A stream's commands meet in one row."""
+    rest = [c for c in cmds.columns if c != key]
+    by_seq = lambda a, b: F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0)
+    each = cmds.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*rest)), by_seq).alias("_c"))
+    return each.select(key, F.explode(row_relative(F.col("_c"))).alias("_c")).select(key, "_c.c.*", "_c.path", "_c.x", "_c.y", "_c.relative")
 
 
 def shared_drawings(drawings: DataFrame, body: str = "body") -> DataFrame:

@@ -8,12 +8,13 @@ tokens meet in one task, as a page's state is sequential anyway.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions.strings import once
 from leafmill.sources.content import FAMILIES, NATIVE_TOKEN, lex, parse
 
 TYPE_RULES = (
@@ -72,11 +73,6 @@ def stream_commands(streams: DataFrame, key: str = "doc_id", stream: str = "stre
     return streams.select(key, F.explode(row_commands(F.col(stream))).alias("c")).select(key, "c.seq", "c.op", "c.args")
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value evaluated once however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def row_commands(stream: Column) -> Column:
     """The commands (seq, op, args) of a stream as an array."""
     closing = lambda t: ~(t.rlike(r"^[(/<>\[\]+\-.\d]") | t.isin("true", "false", "null"))
@@ -90,13 +86,13 @@ def row_commands(stream: Column) -> Column:
         cmd = lambda e, k: F.struct(k.alias("seq"), F.get(ts, e - 1).alias("op"), F.slice(ts, F.get(at, k) + 1, e - F.get(at, k) - 1).alias("args"))
         return F.transform(F.slice(at, F.lit(2), F.greatest(F.size(at) - 1, F.lit(0))), cmd)
 
-    return _once(F.regexp_extract_all(stream, F.lit(NATIVE_TOKEN), 0), lambda ts: _once(ends(ts), lambda at: cut(ts, at)))
+    return once(F.regexp_extract_all(stream, F.lit(NATIVE_TOKEN), 0), lambda ts: once(ends(ts), lambda at: cut(ts, at)))
 
 
 def serialized(stream: Column) -> Column:
     """A stream's commands in order, one a line; null for a stream without any."""
     lines = F.transform(row_commands(stream), lambda c: F.concat(F.when(F.size(c["args"]) > 0, F.concat(F.array_join(c["args"], " "), F.lit(" "))).otherwise(""), c["op"]))
-    return _once(F.array_join(lines, "\n"), lambda x: F.when(x != "", x))
+    return once(F.array_join(lines, "\n"), lambda x: F.when(x != "", x))
 
 
 def command_text(op: str = "op", args: str = "args") -> Column:

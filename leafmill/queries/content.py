@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.operators import rewrite as R
@@ -235,15 +235,18 @@ def t9_merge_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _drawing(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    x = li.withColumn("no", F.row_number().over(order))
+    """(l_orderkey, cmds): an order's drawing as a row."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount")
+    x = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     s = lambda op, *xs: F.struct(F.lit(op).alias("op"), F.array(*[F.format_string("%.2f", v) for v in xs]).cast("array<string>").alias("args"))
-    p, q, disc = F.col("l_extendedprice"), F.col("l_quantity"), F.col("l_discount")
-    cmds = F.array(s("m", p, q), s("l", p + q, q + 1), s("re", p, q, q, disc))
-    cmds = F.concat(cmds, F.when(F.col("l_suppkey") % 5 == 0, F.array(s("W"))).otherwise(F.array().cast("array<struct<op:string,args:array<string>>>")), F.array(s("S"), s("g", disc)))
-    y = x.select("l_orderkey", "no", F.posexplode(cmds).alias("k", "c"))
-    return y.select("l_orderkey", (F.col("no") * 10 + F.col("k")).alias("seq"), F.lit(0).alias("block"), F.col("c.op").alias("op"), F.col("c.args").alias("args"))
+
+    def drawn(r: Column, i: Column) -> Column:
+        p, q, disc = r["l_extendedprice"], r["l_quantity"], r["l_discount"]
+        cmds = F.array(s("m", p, q), s("l", p + q, q + 1), s("re", p, q, q, disc))
+        cmds = F.concat(cmds, F.when(r["l_suppkey"] % 5 == 0, F.array(s("W"))).otherwise(F.array().cast("array<struct<op:string,args:array<string>>>")), F.array(s("S"), s("g", disc)))
+        return F.transform(cmds, lambda c, k: F.struct(((i + 1) * 10 + k).alias("seq"), c["op"].alias("op"), c["args"].alias("args")))
+
+    return x.select("l_orderkey", F.flatten(F.transform("lines", drawn)).alias("cmds"))
 
 
 @query(
@@ -258,7 +261,7 @@ def _drawing(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT l_orderkey, no * 10 + 4 + CAST(clip AS BIGINT), 'g', '' FROM r""",
 )
 def t10_relative_paths(spark: SparkSession, d: str) -> DataFrame:
-    x = R.relative_paths(_drawing(spark, d), "l_orderkey")
+    x = _drawing(spark, d).select("l_orderkey", F.explode(R.row_relative(F.col("cmds"))).alias("y")).select("l_orderkey", "y.c.seq", "y.c.op", "y.relative")
     text = F.coalesce(F.array_join(F.transform("relative", lambda v: F.format_string("%.2f", v + 0.0)), " "), F.lit(""))
     return x.select("l_orderkey", F.col("seq").cast("long").alias("seq"), "op", text.alias("relative"))
 

@@ -91,3 +91,41 @@ def test_equal_data_meets_a_function_once_a_batch(spark, tmp_path):
     got = x.select(codecs.column(f, F.col("b")).alias("y")).groupBy("y").count().collect()
     assert {None if r["y"] is None else bytes(r["y"]): r["count"] for r in got} == {None: 100, b"x0": 100, b"x2": 100}
     assert len((tmp_path / "calls").read_text()) == 2
+
+
+def test_relative_paths_in_rows_and_in_tables(spark):
+    """Against a walk along each stream; the plan holds one sort of commands at most."""
+    import random
+
+    from leafmill.operators.rewrite import relative_paths
+    from leafmill.sources.content import FAMILIES
+
+    r = random.Random(5)
+    rows, want = [], {}
+    for doc in range(40):
+        cmds = [(doc, 3 * k + 1, op := r.choice(("m", "l", "re", "h", "W", "S", "f", "g", "q", "Tj")), [r.choice(("1.5", "7", "-2", "x")) for _ in range({"m": 2, "l": 2, "re": 4, "g": 1}.get(op, 0))], {"k": str(k)}) for k in range(r.randrange(25))]
+        rows += cmds
+        parts, inside = [[]], []
+        for c in cmds:
+            parts[-1].append(c)
+            if c[2] in FAMILIES["paint"]:
+                parts.append([])
+        for n, part in enumerate(parts, 1):
+            begin = next((i for i, c in enumerate(part) if c[2] in ("m", "re")), len(part))
+            own = [c for c in part[begin:] if c[2] in FAMILIES["path"] + FAMILIES["paint"] + FAMILIES["clip"]]
+            number = lambda v: None if v == "x" else float(v)
+            first = [next((v for c in own if len(c[3]) > k and (v := number(c[3][k])) is not None), None) if not any(c[2] == "W" for c in own) else None for k in (0, 1)]
+            for c in part:
+                x, y = first if c in own else (None, None)
+                args = [number(v) for v in c[3]]
+                moved = None if x is None else [v if i >= (2 if c[2] == "re" else len(args)) else None if v is None or (x, y)[i % 2] is None else v - (x, y)[i % 2] for i, v in enumerate(args)]
+                want[c[0], c[1]] = n if c in own else None, x, y, moved
+    r.shuffle(rows)
+    got = relative_paths(spark.createDataFrame(rows, "doc_id int, seq int, op string, args array<string>, props map<string,string>"))
+    assert got.columns == ["doc_id", "seq", "op", "args", "props", "path", "x", "y", "relative"]
+    assert {(c["doc_id"], c["seq"]): (c["path"], c["x"], c["y"], c["relative"]) for c in got.collect()} == want
+
+
+def test_drawings_are_moved_without_a_window(spark, sf):
+    plan = QUERIES["t10_relative_paths"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1
