@@ -5,10 +5,13 @@ from __future__ import annotations
 import base64
 import zlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import strings as S
+from leafmill.functions.batches import bounded
 from leafmill.queries import query, table
 from leafmill.sources import codecs as C
 
@@ -60,35 +63,41 @@ def f5_flate(spark: SparkSession, d: str) -> DataFrame:
 def f7_lzw(spark: SparkSession, d: str) -> DataFrame:
     """Streams of table codes of 9 to 12 bits, whose widths grow a code early in every other one."""
     x = _docs(spark, d)
-    early, late = (C.column(lambda b, e=e: C.lzw(_lzw_codes(b, e), e), F.col("raw")) for e in (1, 0))
-    return x.select("doc_id", F.md5(F.when(F.col("doc_id") % 2 == 0, early).otherwise(late)).alias("digest"))
+    even = F.col("doc_id") % 2 == 0  # a column's function meets every row, so each gets null for the rows of the other
+    early, late = (C.column(lambda b, e=e: C.lzw(_lzw_codes(b, e), e), F.when(even if e else ~even, F.col("raw"))) for e in (1, 0))
+    return x.select("doc_id", F.md5(F.coalesce(early, late)).alias("digest"))
 
 
 def _lzw_codes(data: bytes, early: int) -> bytes:
     """The longest known strings as codes; a full table is cleared."""
-    bits, table, n, width, at = [f"{256:09b}"], {}, 259, 9, -1
+    places, widths = C.lzw_places(early)
+    parts: list[np.ndarray] = []
+    table: dict[int, int] = {}
+    codes: list[int] = []
+    n, at = 258, -1
+
+    def put(mark: int) -> None:
+        codes.append(mark)
+        x, w = np.array(codes, np.uint32), widths[: len(codes)]
+        bits = (x[:, None] >> np.arange(11, -1, -1, dtype=np.uint32) & 1).astype(np.uint8)
+        parts.append(bits[np.arange(11, -1, -1) < w[:, None]])
+
     for b in data:
-        known = b if at < 0 else table.get((at, b))
+        known = b if at < 0 else table.get(at << 8 | b)
         if known is not None:
             at = known
             continue
-        bits.append(f"{at:0{width}b}")
-        table[at, b] = n - 1
-        if n - 1 >= (1 << width) - early and width < 12:
-            width += 1
+        codes.append(at)
+        table[at << 8 | b] = n
         n += 1
-        if n > 4095:
-            bits.append(f"{256:0{width}b}")
-            table, n, width = {}, 259, 9
+        if n > 4094:
+            put(256)
+            table, codes, n = {}, [], 258
         at = b
     if at >= 0:
-        bits.append(f"{at:0{width}b}")
-        if n - 1 >= (1 << width) - early and width < 12:
-            width += 1
-    bits.append(f"{257:0{width}b}")
-    s = "".join(bits)
-    s += "0" * (-len(s) % 8)
-    return int(s, 2).to_bytes(len(s) // 8, "big")
+        codes.append(at)
+    put(257)
+    return np.packbits(np.concatenate([np.unpackbits(np.array([128, 0], np.uint8))[:9], *parts])).tobytes()
 
 
 @query("f8_run_length", SAME)
@@ -156,8 +165,9 @@ def f12_png_files(spark: SparkSession, d: str) -> DataFrame:
 @query("f13_pixel_unpack", "SELECT doc_id, CAST(list_sum(list_transform(string_split(hex(encode(text)), ''), lambda c: CAST('0x' || c AS INT))) AS BIGINT) AS total FROM documents")
 def f13_pixel_unpack(spark: SparkSession, d: str) -> DataFrame:
     """Samples of four bits: every byte holds two."""
-    digits = F.regexp_extract_all(F.hex("raw"), F.lit("."), 0)
-    return _docs(spark, d).select("doc_id", F.aggregate(digits, F.lit(0).cast("long"), lambda a, x: a + F.conv(x, 16, 10).cast("long")).alias("total"))
+    bounded()
+    total = F.arrow_udf(lambda col: pa.array([None if x is None else int(C.unpack_pixels(x, len(x), 2, 4).sum(dtype=np.int64)) if x else 0 for x in col.to_pylist()], pa.int64()), "long")
+    return _docs(spark, d).select("doc_id", total("raw").alias("total"))
 
 
 @query("f14_pixel_pack", SAME)
