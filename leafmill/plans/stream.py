@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions.batches import bounded
 from leafmill.functions.strings import once
 from leafmill.sources.content import FAMILIES, NATIVE_TOKEN, lex, parse
 
@@ -106,8 +107,17 @@ def serialize(cmds: DataFrame, key: str = "doc_id") -> DataFrame:
     return cmds.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["t"]), "\n").alias("stream"))
 
 
-def _lexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Streams that a worker takes apart before it hands on what it found: tokens take many times the room of their text.
+STREAMS = 64
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        yield from (b.slice(at, STREAMS) for at in range(0, b.num_rows, STREAMS))
+
+
+def _lexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in _pieces(batches):
         rows, pos, kinds, texts = [], [], [], []
         for i, s in enumerate(b.column(1).to_pylist()):
             for k, (kind, text) in enumerate(lex(s or "")):
@@ -121,12 +131,13 @@ def _lexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def lex_tokens(streams: DataFrame, key: str = "doc_id", stream: str = "stream") -> DataFrame:
     """(key, pos, type, token) by the exact lexer; comments are dropped and strings nest."""
     kind = streams.schema[key].dataType.simpleString()
+    bounded(streams.sparkSession)
     return streams.select(key, stream).mapInArrow(_lexed, f"key {kind}, pos int, type string, token string").withColumnRenamed("key", key)
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["key", "seq", "block", "op", "args", "props", "data"]
-    for b in batches:
+    for b in _pieces(batches):
         rows, found = [], []
         for i, s in enumerate(b.column(1).to_pylist()):
             cmds = parse(s or "")
@@ -147,5 +158,6 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def parse_commands(streams: DataFrame, key: str = "doc_id", stream: str = "stream") -> DataFrame:
     """(key, seq, block, op, args, props, data) by the exact parser."""
     kind = streams.schema[key].dataType.simpleString()
+    bounded(streams.sparkSession)
     schema = f"key {kind}, seq int, block int, op string, args array<string>, props map<string,string>, data string"
     return streams.select(key, stream).mapInArrow(_parsed, schema).withColumnRenamed("key", key)
