@@ -129,3 +129,45 @@ def test_relative_paths_in_rows_and_in_tables(spark):
 def test_drawings_are_moved_without_a_window(spark, sf):
     plan = QUERIES["t10_relative_paths"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and plan.count("Exchange") == 1
+
+
+def test_table_codes_without_a_clear_and_cut_short():
+    """A full table stays, codes have 12 bits from then on; widths grow a code early or not."""
+    import random
+
+    from leafmill.queries.codecs import _lzw_codes
+    from leafmill.sources.codecs import lzw
+
+    r = random.Random(2)
+    for early in (0, 1):
+        data, bits, known, width = bytes(r.randrange(256) for _ in range(9000)), "", 258, 9
+        for j, b in enumerate(data):
+            bits += f"{b:0{width}b}"
+            if j and known < 4096:
+                known += 1
+                width += width < 12 and known >= (1 << width) - early
+        bits += f"{256:0{width}b}{65:09b}{257:09b}"
+        bits += "0" * (-len(bits) % 8)
+        packed = int(bits, 2).to_bytes(len(bits) // 8, "big")
+        assert lzw(packed, early) == data + b"A"
+        assert data.startswith(lzw(packed[:5000], early)) and len(lzw(packed[:5000], early)) > 3000
+        for n in (0, 1, 2, 300, 30_000):
+            raw = bytes(r.choice(b"abcd") for _ in range(n))
+            assert lzw(_lzw_codes(raw, early), early) == raw
+
+
+def test_each_row_meets_one_kind_of_table_codes(spark, sf, monkeypatch):
+    plan = QUERIES["f7_lzw"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN") == 2 and "coalesce(" in plan
+
+
+def test_samples_are_unpacked_by_their_codec(spark, sf):
+    plan = QUERIES["f13_pixel_unpack"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
+
+
+@pytest.mark.parametrize("name", ["f5_flate", "s2_file_graph", "o2_page_text", "f8_run_length", "p6_exact_parser", "f4_ascii85", "s1_file_round_trip", "p3_exact_lexer", "f2_filter_chain"])
+def test_rows_come_in_small_batches(spark, sf, name):
+    _unbound(spark)
+    rows, size = _batches(QUERIES[name](spark, sf))
+    assert rows <= 1000 and size <= 4 << 20
