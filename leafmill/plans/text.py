@@ -17,8 +17,9 @@ def with_forms(streams: DataFrame, uses: DataFrame) -> DataFrame:
     name, dst): what a name is in a stream. Innermost forms first: a round joins one level with the level
     below. Streams on a cycle, and those that draw one, show nothing but are not lost: their own text stays.
     """
-    own = placed(streams.select(F.struct("doc", "node").alias("k"), "stream", "fonts"), "k").select("k.doc", "k.node", F.array("seq").alias("seq"), "text", "m", "name")
-    own = graph.kept(own.join(streams.select("doc", "node", "matrix"), ["doc", "node"]).withColumn("m", F.when(F.col("matrix").isNull(), F.col("m")).otherwise(mat_mul(F.col("matrix"), F.col("m")))).drop("matrix"))
+    own = placed(streams.select(F.struct("doc", "node", "matrix").alias("k"), "stream", "fonts"), "k")  # the matrix goes along, so that no join fetches it
+    placed_by = F.when(F.col("k.matrix").isNull(), F.col("m")).otherwise(mat_mul(F.col("k.matrix"), F.col("m")))
+    own = graph.kept(own.select("k.doc", "k.node", F.array("seq").alias("seq"), "text", placed_by.alias("m"), "name"))
     texts = own.where("name is null").drop("name")
     draws = own.where("name is not null").join(uses.withColumnRenamed("src", "node"), ["doc", "node", "name"]).select("doc", "node", "seq", "m", "dst")
     levels = graph.depths(uses)

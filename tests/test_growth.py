@@ -171,3 +171,13 @@ def test_rows_come_in_small_batches(spark, sf, name):
     _unbound(spark)
     rows, size = _batches(QUERIES[name](spark, sf))
     assert rows <= 1000 and size <= 4 << 20
+
+
+def test_matrices_of_forms_come_without_a_join(spark, sf, monkeypatch):
+    from leafmill.operators import graph
+
+    plans, kept = [], graph.kept
+    monkeypatch.setattr(graph, "kept", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df))
+    QUERIES["g4_nested_forms"](spark, sf)
+    own = next(p for p in plans if "MapInArrow" in p)
+    assert "Join" not in own
