@@ -9,11 +9,11 @@ ROWS, BYTES = 1000, 2 << 20
 
 def bounded(spark: SparkSession | None = None) -> None:
     """Bound the session's Arrow batches by rows and bytes, so that a worker's memory doesn't grow with the table. Results
-    don't depend on it; one row is never cut."""
-    spark = spark or SparkSession.getActiveSession()
-    if spark is not None:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES))
+    don't depend on it; one row is never cut. Without a session it's the thread's active one, else the default: a thread
+    of its own has no active session, and a session beside the default one must be given."""
+    spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES))
 
 
 def spread(df: DataFrame) -> DataFrame:
