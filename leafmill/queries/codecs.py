@@ -35,7 +35,8 @@ def f2_filter_chain(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id") % 4
     hexed = lambda x: F.encode(F.concat(F.hex(x), F.lit(">")), "UTF-8")
     x = _docs(spark, d)
-    raw = F.when(k == 0, C.column(zlib.compress, F.col("raw"))).when(k == 1, hexed(C.column(zlib.compress, F.col("raw")))).when(k == 2, C.column(C.to_run_length, F.col("raw"))).otherwise(hexed(F.col("raw")))
+    flate, run_length = C.column(zlib.compress, F.when(k < 2, F.col("raw"))), C.column(C.to_run_length, F.when(k == 2, F.col("raw")))  # a column's function meets every row
+    raw = F.when(k == 0, flate).when(k == 1, hexed(flate)).when(k == 2, run_length).otherwise(hexed(F.col("raw")))
     names = F.when(k == 0, F.array(F.lit("FlateDecode"))).when(k == 1, F.array(F.lit("AHx"), F.lit("Fl"))).when(k == 2, F.array(F.lit("RL"))).otherwise(F.array(F.lit("ASCIIHexDecode"), F.lit("DCT")))
     return x.select("doc_id", C.decoded(raw, names).alias("y")).select("doc_id", F.md5("y.data").alias("digest"), F.array_join("y.left", " ").alias("left_"))
 
