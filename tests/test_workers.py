@@ -23,7 +23,7 @@ def _built(spark, sf, name) -> tuple[int, int]:
     return tuple(int(spark.conf.get(k).rstrip("bB")) for k in keys)
 
 
-@pytest.mark.parametrize("name", ["f5_flate", "f8_run_length", "f2_filter_chain"])
+@pytest.mark.parametrize("name", ["f5_flate", "f8_run_length", "f4_ascii85", "f2_filter_chain"])
 def test_batches_are_bounded_in_any_thread_and_session(spark, sf, name):
     for s in (spark, spark.newSession()):
         rows, size = _built(s, sf, name)
