@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import zlib
 
 import numpy as np
@@ -48,7 +47,7 @@ def f3_ascii_hex(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f4_ascii85", SAME)
 def f4_ascii85(spark: SparkSession, d: str) -> DataFrame:
-    packed = C.column(lambda x: base64.a85encode(x, wrapcol=72) + b"~>", F.col("raw"))
+    packed = C.column(C.to_ascii85, F.col("raw"))
     return _docs(spark, d).select("doc_id", packed.alias("p")).select("doc_id", F.md5(C.column(C.ascii85, F.col("p"))).alias("digest"))
 
 

@@ -97,3 +97,27 @@ def test_decoded_streams_leave_a_worker_in_pieces(spark):
     finally:
         F.arrow_udf = real
     assert peak(steps[0]) < 8 << 20
+
+
+def _held(f, data: bytes) -> int:
+    """Most bytes that Python has allocated while f ran."""
+    import tracemalloc
+
+    tracemalloc.start()
+    f(data)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most
+
+
+def test_base_85_holds_a_small_multiple_of_its_row():
+    import base64
+    import random
+
+    from leafmill.sources import codecs
+
+    raw = random.Random(1).randbytes(1 << 20)
+    packed = base64.a85encode(raw, wrapcol=72) + b"~>"
+    assert codecs.ascii85(packed) == raw
+    assert _held(codecs.ascii85, packed) < 10 << 20
+    assert _held(codecs.to_ascii85, raw) < 20 << 20
