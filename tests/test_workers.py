@@ -121,3 +121,15 @@ def test_base_85_holds_a_small_multiple_of_its_row():
     assert codecs.ascii85(packed) == raw
     assert _held(codecs.ascii85, packed) < 10 << 20
     assert _held(codecs.to_ascii85, raw) < 20 << 20
+
+
+def test_run_length_holds_a_small_multiple_of_its_row():
+    import random
+
+    from leafmill.sources import codecs
+
+    for raw in (bytes(random.Random(1).choices(b"abcdefgh", k=1 << 20)), b"aaabbb" * 170_000, b"a" * (1 << 20)):
+        packed = codecs.to_run_length(raw)
+        assert codecs.run_length(packed) == raw
+        assert _held(codecs.to_run_length, raw) < 5 << 20
+        assert _held(codecs.run_length, packed) < 5 << 20
